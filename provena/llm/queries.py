@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from provena.llm.bpe import op3_bpe
+from provena.llm.minhash import op10_minhash
 from provena.llm.packing import op8_packing
 from provena.llm.quality import op7_quality
 from provena.llm.secrets import op6_secrets
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
