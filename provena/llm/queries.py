@@ -7,12 +7,14 @@ from provena.llm.minhash import op10_minhash
 from provena.llm.packing import op8_packing
 from provena.llm.quality import op7_quality
 from provena.llm.secrets import op6_secrets
+from provena.llm.substring import op9_substring
 
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_substring": op9_substring,
     "op10_minhash": op10_minhash,
 }
 
