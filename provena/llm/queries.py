@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from provena.llm.bpe import op3_bpe
+from provena.llm.lm import op1_lm
 from provena.llm.minhash import op10_minhash
 from provena.llm.packing import op8_packing
 from provena.llm.quality import op7_quality
@@ -10,6 +11,7 @@ from provena.llm.secrets import op6_secrets
 from provena.llm.substring import op9_substring
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op3_bpe": op3_bpe,
     "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
