@@ -9,10 +9,14 @@ from provena.llm.packing import op8_packing
 from provena.llm.quality import op7_quality
 from provena.llm.secrets import op6_secrets
 from provena.llm.substring import op9_substring
+from provena.llm.vectors import op5_vectors
+from provena.llm.wrappers import op4_html
 
 QUERIES = {
     "op1_lm": op1_lm,
     "op3_bpe": op3_bpe,
+    "op4_html": op4_html,
+    "op5_vectors": op5_vectors,
     "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
