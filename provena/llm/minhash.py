@@ -152,20 +152,26 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return (small * 100 >= large * percent) & (agreement(x, y) >= percent / 100 - SLACK)
 
 
-def sets_of(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id and set of the wanted ids.
-
-    A bitmap of the ids, of bounded size, goes to all tasks and keeps most other texts from being cut
-    into shingles; ids that pass it by chance meet no link later."""
+def id_bitmap(wanted: DataFrame):
+    """(broadcast bitmap of hashed ids, its number of bits): 16 bits an id, 8 MB at most."""
     count = wanted.count()
     bits = 1 << min(26, max(15, (16 * count).bit_length()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     # Spark numbers bits from 1, in buckets of 32768 that are numbered from 1 too
     rows = wanted.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
-    flat = np.zeros(max(bits, 32768) // 8, np.uint8)
+    flat = np.zeros(bits // 8, np.uint8)
     for r in rows:
         flat[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    held = df.sparkSession.sparkContext.broadcast(flat)
+    return wanted.sparkSession.sparkContext.broadcast(flat), bits
+
+
+def sets_of(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc_id and set of the wanted ids.
+
+    A bitmap of the ids, of bounded size, goes to all tasks and keeps most other texts from being cut
+    into shingles; ids that pass it by chance meet no link later."""
+    held, bits = id_bitmap(wanted)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -230,5 +236,29 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"), "class_id")
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in gone.
+
+    A bitmap of gone ids, of bounded size, lets all other texts pass without a shuffle; only rows that
+    hit it, the gone ones and a few by chance, are joined with the ids."""
+    ids = saved(gone.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    schema = docs.schema
+    held, bits = id_bitmap(ids)
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+
+    def pick(hit: bool):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                p = np.asarray(b["place"].fill_null(0))
+                found = ((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1) > 0
+                yield b.drop_columns(["place"]).filter(pa.array(found == hit))
+
+        return run
+
+    placed = docs.withColumn("place", place)
+    maybe = map_arrow(placed, pick(True), schema)
+    return map_arrow(placed, pick(False), schema).unionByName(maybe.join(ids.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)

@@ -237,6 +237,13 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> t
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
+def verdicts(t: dict[str, np.ndarray], n: int, w: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n texts fail the base rules, and the share of each one's words in content lines."""
+    content = viterbi(t["features"] @ w, t["doc"], stay) * t["words"]
+    share = np.bincount(t["doc"], content, minlength=n) / np.maximum(1, t["n_words"])
+    return (t["n_words"] < MIN_WORDS) | (100 * t["n_repeat_words"] > MOST_REPEATED * t["n_words"]), share
+
+
 def judge(docs: DataFrame, weights: tuple[np.ndarray, float], least: float = LEAST_CONTENT) -> DataFrame:
     """One row for each row of docs: its counts, whether the base rules fail it, whether it is kept."""
     w, stay = np.asarray(weights[0]), float(weights[1])
@@ -244,16 +251,25 @@ def judge(docs: DataFrame, weights: tuple[np.ndarray, float], least: float = LEA
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             t = line_table(b["text"])
-            n = b.num_rows
-            content = viterbi(t["features"] @ w, t["doc"], stay) * t["words"]
-            share = np.bincount(t["doc"], content, minlength=n) / np.maximum(1, t["n_words"])
-            failed = (t["n_words"] < MIN_WORDS) | (100 * t["n_repeat_words"] > MOST_REPEATED * t["n_words"])
+            failed, share = verdicts(t, b.num_rows, w, stay)
             ints = [pa.array(t[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *ints, pa.array(failed), pa.array(~failed & (share >= least)), pa.array(share)], [x.split()[0] for x in OUT.split(", ")])
 
     return map_arrow(id_text(docs), run, OUT)
 
 
+def kept_documents(docs: DataFrame, weights: tuple[np.ndarray, float], least: float = LEAST_CONTENT) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    w, stay = np.asarray(weights[0]), float(weights[1])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            failed, share = verdicts(line_table(b["text"]), b.num_rows, w, stay)
+            yield b.filter(pa.array(~failed & (share >= least)))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def weights_for(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[np.ndarray, float]:
     return fit_from_labels(docs, table(spark, sf_dir, "labels"))
 
