@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from provena.llm import licenses
 from provena.llm.bpe import op3_bpe
 from provena.llm.lm import op1_lm
 from provena.llm.minhash import op10_minhash
@@ -14,6 +15,7 @@ from provena.llm.wrappers import op4_html
 
 QUERIES = {
     "op1_lm": op1_lm,
+    "op2_licenses": licenses.op2_licenses,
     "op3_bpe": op3_bpe,
     "op4_html": op4_html,
     "op5_vectors": op5_vectors,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle()}
