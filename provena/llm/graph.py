@@ -7,12 +7,34 @@ executor costs one round at most.  Stops when a round changes nothing.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.common import saved
 
 
+class Sets:
+    """Disjoint sets of 0..n-1; the smallest member leads."""
+
+    def __init__(self, n: int):
+        self.lead = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.lead[i], self.lead[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(i):
+                return
+            np.minimum.at(self.lead, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = self.lead[self.lead]
+                if np.array_equal(up, self.lead):
+                    break
+                self.lead = up
+
+
 def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 

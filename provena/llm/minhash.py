@@ -8,8 +8,9 @@
    of n gives n-1 links.  Links whose sizes, or whose similarity as estimated by bit counts and
    corrected for chance agreement, exclude the threshold fall out; the others are confirmed on the
    full sets.
-3. Buckets whose members are by then all connected are done.  In the others only pairs across
-   components, with sizes and estimate that allow a link, are confirmed.
+3. Buckets whose members are by then all connected are done.  The others are cut into chunks; a task
+   holds two chunks with their sets and confirms only pairs across components whose sizes and estimate
+   allow a link.  It returns spanning edges, never pairs.
 4. Components of confirmed links.
 
 A pair at the threshold shares no band with probability (1 - t**ROWS)**BANDS, 4e-7 at 0.85, and the
@@ -29,9 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm.common import id_text, map_arrow, mix, saved, table, window_hashes, word_hashes
-from provena.llm.graph import components
+from provena.llm.graph import Sets, components
 
 HASHES, BANDS, ROWS, SLACK = 128, 25, 5, 0.2
+#: Members of a bucket that a task compares with as many others.
+OPEN_CHUNK = 1024
 _RNG = np.random.default_rng(20240601)
 _A = (_RNG.integers(1, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -197,6 +200,74 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
+_OPEN = "band long, c1 int, c2 int, side int, rep long, component long, n long, s0 long, s1 long, s2 long, s3 long, bands array<long>, items array<long>"
+
+
+def across(rest: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Spanning edges (a, b) of confirmed links between different components of the same bucket.
+
+    rest: band, rep, component, size of the bucket.  A task holds two chunks of a bucket with their
+    sets and confirms there each pair whose first shared band is this one; no pair leaves the task."""
+    ids = saved(rest.select(F.col("rep").alias("doc_id")).distinct())
+    items = saved(sets_of(docs, ids, words).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "items"))
+    full = reps.select("rep", "n", "s0", "s1", "s2", "s3", "bands").join(items, "rep")
+    chunks = F.ceil(F.col("size") / OPEN_CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    dealt = rest.withColumn("chunks", chunks).withColumn("c", mine).select("band", "rep", "component", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
+    dealt = dealt.select("band", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (F.col("c") > F.col("o")).cast("int").alias("side"), "rep", "component")
+    names = [x.split()[0] for x in _OPEN.split(", ")]
+
+    def compare(t: pa.Table) -> pa.Table:
+        col = lambda c: np.asarray(t[c].combine_chunks())
+        rep, comp, n, side = col("rep"), col("component"), col("n"), col("side")
+        order = np.argsort(rep, kind="stable")
+        lists = t["items"].combine_chunks()
+        off = lists.offsets.to_numpy()
+        _, local = np.unique(np.asarray(lists.values), return_inverse=True)
+        keys = np.asarray(t["bands"].combine_chunks().values).reshape(-1, BANDS)[order]
+        here = int(np.flatnonzero(keys[0] == t["band"][0].as_py())[0])
+        sig = np.stack([col(f"s{k}") for k in range(4)], 1).view(np.uint64)[order]
+        begin, end = off[:-1][order], off[1:][order]
+        rep, comp, n, side = rep[order], comp[order], n[order], side[order]
+        sets = Sets(len(rep))
+        _, lead = np.unique(comp, return_index=True)
+        sets.join(np.arange(len(rep)), lead[np.unique(comp, return_inverse=True)[1]])
+        same = t["c1"][0].as_py() == t["c2"][0].as_py()
+        away = np.arange(len(rep)) if same else np.flatnonzero(side == 1)
+        mark = np.zeros(int(local.max(initial=-1)) + 1, np.int32)
+        for i in range(len(rep)) if same else np.flatnonzero(side == 0).tolist():
+            j = away[away > i] if same else away
+            j = j[sets.lead[j] != sets.lead[i]]
+            j = j[np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent]
+            if not len(j):
+                continue
+            x = sig[j] ^ sig[i]
+            differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
+            j = j[((1 - differ / HASHES) - 0.25) / 0.75 >= percent / 100 - SLACK]
+            j = j[~(keys[j, :here] == keys[i, :here]).any(1)]
+            if not len(j):
+                continue
+            mine = local[begin[i] : end[i]]
+            mark[mine] = 1
+            k = 0
+            while k < len(j):  # some hundred thousand entries at a time
+                m = k + max(1, int(np.searchsorted(np.cumsum(end[j[k:]] - begin[j[k:]]), 300_000)))
+                some = j[k:m]
+                size = end[some] - begin[some]
+                at = np.repeat(begin[some] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                common = np.add.reduceat(mark[local[at]], np.r_[0, np.cumsum(size)[:-1]])
+                some = some[common * 100 >= (n[i] + n[some] - common) * percent]
+                sets.join(np.full(len(some), i), some)
+                k = m
+            mark[mine] = 0
+        # edges between components that this task has joined
+        e = np.flatnonzero(comp[sets.lead] != comp)
+        return pa.table({"a": rep[e], "b": rep[sets.lead[e]]})
+
+    rows = dealt.join(full, "rep").select(*names)
+    return rows.groupBy("band", "c1", "c2").applyInArrow(compare, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set; null if empty)."""
     docs = id_text(df, id_col, text_col)
@@ -221,14 +292,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     # buckets that hold more than one component
     placed = members.select("band", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = saved(placed)
-    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    rest = saved(placed.join(open_, "band", "left_semi").join(small, "rep"))
-    cols = ["rep", "component", "n", "s0", "s1", "s2", "s3"]
-    x, y = (rest.select("band", *[F.col(c).alias(f"{p}{c}") for c in cols]) for p in ("x_", "y_"))
-    cross = x.join(y, (x["band"] == y["band"]) & (F.col("x_component") < F.col("y_component")) & may_link("x_", "y_", percent))
-    cross = cross.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.lit(1).alias("one")).select("a", "b").join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    cross = saved(cross)
-    more = confirmed(cross, docs, words, percent)
+    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("band", "size")
+    rest = saved(placed.join(open_, "band"))
+    more = saved(across(rest, reps, docs, words, percent))
     final = saved(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     classes = reps.select(*key, "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     classes = saved(classes.select(*key, F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm.common import saved, table
-from provena.llm.graph import components
+from provena.llm.graph import Sets, components
 
 COSINE, BLOCK, CHUNK, TILE = 0.9, 16, 16384, 512
 
@@ -77,27 +77,6 @@ def read_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(run, _CLASS)
 
 
-class Sets:
-    """Disjoint sets of 0..n-1; the smallest member leads."""
-
-    def __init__(self, n: int):
-        self.lead = np.arange(n)
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            a, b = self.lead[i], self.lead[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            if not len(i):
-                return
-            np.minimum.at(self.lead, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = self.lead[self.lead]
-                if np.array_equal(up, self.lead):
-                    break
-                self.lead = up
-
-
 def linked(u: np.ndarray, home: np.ndarray, away: np.ndarray | None, block: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of u, one of home and one of away (None: two of home), that pass this block first."""
     dim = u.shape[1]
