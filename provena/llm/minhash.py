@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import id_text, map_arrow, mix, saved, table, window_hashes, word_hashes
+from provena.llm.common import free_name, id_text, map_arrow, mix, saved, table, window_hashes, word_hashes
 from provena.llm.graph import Sets, components
 
 HASHES, BANDS, ROWS, SLACK = 128, 25, 5, 0.2
@@ -311,19 +311,20 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     schema = docs.schema
     held, bits = id_bitmap(ids)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    name, gone_id = free_name(docs, "place"), free_name(docs, "gone_id")
 
     def pick(hit: bool):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                p = np.asarray(b["place"].fill_null(0))
+                p = np.asarray(b[name].fill_null(0))
                 found = ((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1) > 0
-                yield b.drop_columns(["place"]).filter(pa.array(found == hit))
+                yield b.drop_columns([name]).filter(pa.array(found == hit))
 
         return run
 
-    placed = docs.withColumn("place", place)
+    placed = docs.withColumn(name, place)
     maybe = map_arrow(placed, pick(True), schema)
-    return map_arrow(placed, pick(False), schema).unionByName(maybe.join(ids.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti"))
+    return map_arrow(placed, pick(False), schema).unionByName(maybe.join(ids.withColumnRenamed("doc_id", gone_id), F.col("doc_id") == F.col(gone_id), "left_anti"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

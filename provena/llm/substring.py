@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import id_text, map_arrow, mix, saved, shuffles, small_batches, table, window_hashes, window_mask, word_hashes
+from provena.llm.common import free_name, id_text, map_arrow, mix, saved, shuffles, small_batches, table, window_hashes, window_mask, word_hashes
 
 WINDOW, GRAM, FANOUT = 20, 8, 4
 #: Entries that a task holds before it hands them on.
@@ -295,7 +295,8 @@ def kept_words(text: bytes, starts: np.ndarray, window: int) -> tuple[int, int,
 
 def _apply(docs: DataFrame, gone: DataFrame, blocks: int, window: int, make, schema: str) -> DataFrame:
     """make(texts of a block, window starts to remove of each) -> arrays, without moving more than text."""
-    salted = docs.withColumn("block", _block(blocks))
+    name = free_name(docs, "block")
+    salted = docs.withColumn(name, _block(blocks))
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         doc = np.frombuffer(b"".join(right["docs"].to_pylist()), np.int64)
@@ -306,7 +307,7 @@ def _apply(docs: DataFrame, gone: DataFrame, blocks: int, window: int, make, sch
         lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
         return make(left, [np.unique(pos[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
 
-    return salted.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(both, schema)
+    return salted.groupBy(name).cogroup(gone.groupBy("block")).applyInArrow(both, schema)
 
 
 def _block(blocks: int):
