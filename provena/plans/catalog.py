@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.functions import text as T
-from provena.operators import audit, compare, detect, experiment, inspect, normalize, spans, stats, unicode
+from provena.operators import audit, baseline, compare, detect, experiment, inspect, normalize, spans, stats, unicode
 from provena.sources import readers
 
 KEY = b"test key for queries"
@@ -107,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unicode_findings": _on_documents(unicode.findings),
     "unicode_kinds": _on_documents(unicode.kind_counts),
     "page_unicode_findings": lambda spark, d: unicode.findings(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))),
+    "letter_scripts": _on_documents(unicode.letter_scripts),
+    "stable_forms": _on_documents(unicode.stable_forms),
+    "baseline_record": _on_documents(baseline.records),
     "clean_text": _clean,
     "exact_transform": _exact_edits,
     "sentences": _on_documents(spans.sentences),

@@ -49,3 +49,16 @@ def template_prose(spark: SparkSession, paragraphs: int, sentences: int = 6, par
     del pick
     k = F.sequence(F.col("id") * sentences, F.col("id") * sentences + (sentences - 1))
     return spark.range(0, paragraphs, 1, partitions).select(F.col("id").alias("doc_id"), F.array_join(F.transform(k, lambda i: F.concat(one(i), F.lit("."))), " ").alias("text"))
+
+
+def vocabulary(spark: SparkSession, path: str, tiers: tuple[str, ...] = ()) -> DataFrame:
+    """word: the heads of a JSON word table, lower-cased; flat (head: list) or by tiers of such tables.
+
+    Only the heads are read: they say which words a detector scores."""
+    v = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    flat = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))
+    if not tiers:
+        heads = v.select(F.explode(flat).alias("word"))
+    else:
+        heads = v.select(F.explode(F.flatten(F.array(*[F.coalesce(F.map_keys(F.try_variant_get("v", f"$.{t}", "map<string,variant>")), F.array().cast("array<string>")) for t in tiers]))).alias("word"))
+    return heads.select(F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct()
