@@ -59,15 +59,15 @@ def green_counts(df: DataFrame, key: bytes, gamma: float = 0.5, vocabulary: list
         raise ValueError("gamma must lie between 0 and 1")
     w = df.select(F.col("doc_id").cast("long").alias("doc_id"), scored_words(T.whole("text"), compose).alias("w"))
     n = F.size("w")
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = F.array_distinct(pairs)
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws("\x1f", a, b))
+    pairs = F.array_distinct(pairs)  # of strings, by hash; of structs Spark compares each with each
     if vocabulary is not None:
         known = F.array(*map(F.lit, sorted(set(vocabulary)))) if vocabulary else F.array().cast("array<string>")
-        pairs = F.filter(pairs, lambda p: F.array_contains(known, p["b"]))
-    digest = lambda p: F.substring(hmac_sha256(key, F.concat_ws("\x1f", p["a"], p["b"])), 1, 16)
+        pairs = F.filter(pairs, lambda p: F.array_contains(known, F.substring_index(p, "\x1f", -1)))
+    digest = lambda p: F.substring(hmac_sha256(key, p), 1, 16)
     # value < gamma, both as hex of 64 bits: the order of hex digits is that of numbers
     bound = math.ceil(gamma * 2**64)
-    x = w.select("doc_id", F.when(n > 1, pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>")).alias("p"))
+    x = w.select("doc_id", F.when(n > 1, pairs).otherwise(F.array().cast("array<string>")).alias("p"))
     green = F.size(F.filter("p", lambda p: digest(p) < f"{bound:016x}"))
     return x.select("doc_id", green.cast("long").alias("green"), F.size("p").cast("long").alias("scored"))
 
