@@ -105,7 +105,7 @@ def test_compare(spark):
     assert compare.changed(long, other, S.WORD.findall) == 3
     pairs = spark.createDataFrame([(1, "Same text here.", "Same text here."), (2, "one two three", "four"), (3, "", None)], "pair_id long, before string, after string")
     got = {r.pair_id: r for r in compare.compare(pairs).collect()}
-    assert got[1].preservation_score == 1.0 and got[1].strength == "NONE" and got[1].numbers_ratio is None
+    assert got[1].preservation_score == 1.0 and got[1].strength == "NONE" and got[1].numbers.ratio is None and got[1].numbers["count"] == 0
     assert got[2].strength == "STRONG" and got[3].tfidf_cosine == 1.0
     over = {r.pair_id: r for r in compare.word_overlap(pairs).collect()}
     assert over[1].jaccard == 1 and over[2].cosine == 0 and over[3].jaccard == 1
