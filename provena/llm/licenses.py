@@ -5,7 +5,8 @@ and newlines to one space.  A text is cut into units: its lines, its paragraphs
 a word), and the whole text.  A unit and a template with b1 and b2 bigrams can only reach a Dice
 coefficient t if t / (2 - t) <= b1 / b2 <= (2 - t) / t.  So a unit with fewer or more words than any
 template allows is ruled out before a bigram is made, and of the others each meets only the templates
-of fitting size.  Templates are a literal of fixed size; there is no join and no shuffle.
+of fitting size.  Before that, texts and units that hold none of a few anchor words go: the anchors
+are chosen so that every possible match holds one.  Templates are a literal of fixed size; there is no join and no shuffle.
 
 Returns one row for each document with a match: its licences, sorted, the best one, and its score.
 Null and empty texts, and units of one word, match nothing.  Ties go to the name that sorts first.
@@ -14,6 +15,7 @@ Null and empty texts, and units of one word, match nothing.  Ties go to the name
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,17 +60,44 @@ def bounds(templates=TEMPLATES, least: float = LEAST) -> tuple[int, int]:
     return math.ceil(min(sizes) * least / (2 - least) - 1e-9) + 1, math.floor(max(sizes) * (2 - least) / least + 1e-9) + 1
 
 
+#: Words too common in plain English to tell a licence; anchors only if a template has no other.
+COMMON = frozenset("a above all an and any are as at be by can code copy copies file either for found free from has if in into is it law may not notice of on or public related source subject that the this to under use version with without work you".split())
+
+
+def anchors(templates=TEMPLATES, least: float = LEAST) -> list[str]:
+    """Words of which each matching unit holds at least one.
+
+    A match shares at least least / (2 - least) of the template's bigrams, so if fewer than that share
+    have no anchor in either word, a unit without an anchor cannot match.  Greedy choice: the less
+    common, then the one that reaches most missing bigrams; ties by length and name."""
+    grams = [[x.split(" ") for x in bigrams(_words(t))] for _, t in templates]
+    need = [math.ceil(len(g) * least / (2 - least) - 1e-9) for g in grams]
+    chosen: list[str] = []
+    while True:
+        free = [[x for x in g if not set(x) & set(chosen)] for g in grams]
+        open_ = [f for f, n in zip(free, need, strict=True) if len(f) >= n > 0]
+        if not open_:
+            return chosen
+        reach = Counter(w for f in open_ for x in f for w in set(x))
+        chosen.append(max(reach, key=lambda w: (w not in COMMON and not w.isdigit(), reach[w], len(w), w)))
+
+
 def find_licenses(df: DataFrame, least: float = LEAST, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licenses (array), best, dice of every row that has one."""
     known = [(name, g, len(g)) for name, text in templates if (g := bigrams(_words(text)))]
     literal = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(k).alias("size")) for n, g, k in known])
     fewest, most = bounds(templates, least)
+    must = "(?<![a-z0-9])(?:" + "|".join(anchors(templates, least)) + ")(?![a-z0-9])"
     ratio = (2 - least) / least
-    normal = F.regexp_replace(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "[^a-z0-9\n]+", " ")
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), normal.alias("normal"))
-    units = F.array_distinct(F.concat(F.split("normal", "\n"), F.split("normal", "\n *(?:\n *)+"), F.array("normal")))
-    words = F.transform(units, lambda u: F.filter(F.split(u, "[ \n]+"), lambda w: w != ""))
-    words = F.filter(words, lambda w: (F.size(w) >= fewest) & (F.size(w) <= most))
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # texts without an anchor go before any regular expression sees them
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text")).filter(F.lower(raw).rlike(must))
+    rows = rows.select("doc_id", F.regexp_replace(ascii_lower(F.col("text")), "[^a-z0-9\n]+", " ").alias("normal"))
+    units = F.concat(F.split("normal", "\n"), F.split("normal", "\n *(?:\n *)+"), F.array("normal"))
+    # of most units only the number of words is needed: they have one space between words
+    units = F.transform(F.filter(units, lambda u: u.rlike(must)), lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " ")))
+    spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
+    units = F.filter(F.array_distinct(units), lambda u: spaces(u).between(fewest - 1, most - 1))
 
     def pairs(w: Column) -> Column:
         n = F.size(w)
@@ -79,7 +108,9 @@ def find_licenses(df: DataFrame, least: float = LEAST, templates=TEMPLATES, id_c
         fit = F.filter(literal, lambda t: (t["size"] <= size * ratio) & (size <= t["size"] * ratio))
         return F.transform(fit, lambda t: F.struct((-2.0 * F.size(F.array_intersect(t["grams"], g)) / (t["size"] + size)).alias("score"), t["name"].alias("name")))
 
-    rows = rows.select("doc_id", F.transform(words, pairs).alias("grams")).filter(F.size("grams") > 0)
+    rows = rows.select("doc_id", units.alias("units")).filter(F.size("units") > 0)
+    rows = rows.select("doc_id", F.transform("units", lambda u: F.split(u, " ")).alias("words"))
+    rows = rows.select("doc_id", F.transform("words", pairs).alias("grams"))
     found = F.filter(F.flatten(F.transform("grams", against)), lambda m: m["score"] <= -least)
     rows = rows.select("doc_id", found.alias("found")).filter(F.size("found") > 0)
     best = F.array_min("found")

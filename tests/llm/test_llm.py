@@ -169,6 +169,25 @@ def test_licenses(spark, tmp_path):
     assert licenses.find_licenses(empty(spark)).count() == 0
 
 
+def test_every_match_holds_an_anchor():
+    """Templates with as many words changed as a match allows, the anchors first."""
+    must = set(licenses.anchors())
+    rng = np.random.default_rng(4)
+    for _, text in licenses.TEMPLATES:
+        ws = licenses._words(text)
+        grams = set(licenses.bigrams(ws))
+        for _ in range(20):
+            now = list(ws)
+            order = sorted(range(len(ws)), key=lambda k: (ws[k] not in must, rng.random()))
+            for k in order:
+                now[k] = "qq"
+                got = set(licenses.bigrams(now))
+                if 2 * len(got & grams) < licenses.LEAST * (len(got) + len(grams)):
+                    break
+                assert set(now) & must
+    assert not must & licenses.COMMON
+
+
 # 3 and 8
 
 
