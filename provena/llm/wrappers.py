@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import table
+from provena.llm.common import saved, table
 
 GROUP = 128
 LOOK_AHEAD, LONGEST_GROUP = 40, 6
+#: Hosts of more than GROUP pages that are broadcast, some 20 MB; if there are more, a join by host deals them.
+MAX_LARGE_HOSTS = 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|<[!?][^>]*>|[^<]+|<""", re.DOTALL | re.IGNORECASE)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -225,15 +227,20 @@ def extract_pages(df: DataFrame, group: int = GROUP, id_col: str = "page_id", ur
     """page_id, url, text of every row."""
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit(""))
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    dealt = pages.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("host_pages") / group)))
+    # only hosts that need more than one group are looked up; few enough of them are sent to all tasks
+    large = saved(pages.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") > group))
+    few = large.count() <= MAX_LARGE_HOSTS
+    dealt = pages.join(F.broadcast(large) if few else large, "host", "left")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.coalesce("host_pages", F.lit(1)) / group))
+    # one key for host and part: rows that are dealt by host already must be dealt anew
+    dealt = dealt.withColumn("wrapper", F.concat_ws(" ", part.cast("string"), "host"))
 
     def run(t: pa.Table) -> pa.Table:
         # ids order the alignment, so the wrapper does not depend on how rows arrive
         t = t.sort_by([("page_id", "ascending")])
         return pa.table({"page_id": t["page_id"], "url": t["url"], "text": pa.array(extract_group(t["html"].to_pylist()), pa.string())})
 
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(run, "page_id long, url string, text string")
+    return dealt.select("wrapper", "page_id", "url", "html").groupBy("wrapper").applyInArrow(run, "page_id long, url string, text string")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
