@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from provena.llm.common import id_text, map_arrow, table
 
 #: Chunks and token pairs that a worker remembers. Chunks: two generations of this many; the older goes.
-CACHE = 300_000
+CACHE = 200_000
 _UNEVEN = re.compile(r"\s | \s|^ | $").search
 
 

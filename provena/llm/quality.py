@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import doc_of, id_text, map_arrow, mix, table, text_buffer, window_hashes, window_mask, word_hashes
+from provena.llm.common import batches, doc_of, id_text, map_arrow, mix, table, text_buffer, window_hashes, window_mask, word_hashes
 
 SAMPLE = 400
+#: Bytes of text whose lines are described at once; a dozen arrays of eight bytes a byte stand beside it.
+PART = 1 << 20
 MIN_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: Below this share of words in content lines a document goes.
 LEAST_CONTENT = 0.5
@@ -217,7 +219,7 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> t
     told = sorted(wanted)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in batches(it, PART):
             t = line_table(b["text"])
             ids = np.asarray(b["doc_id"])[t["doc"]]
             for d in np.unique(t["doc"]).tolist():
@@ -249,7 +251,7 @@ def judge(docs: DataFrame, weights: tuple[np.ndarray, float], least: float = LEA
     w, stay = np.asarray(weights[0]), float(weights[1])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in batches(it, PART):
             t = line_table(b["text"])
             failed, share = verdicts(t, b.num_rows, w, stay)
             ints = [pa.array(t[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -263,7 +265,7 @@ def kept_documents(docs: DataFrame, weights: tuple[np.ndarray, float], least: fl
     w, stay = np.asarray(weights[0]), float(weights[1])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in batches(it, PART):
             failed, share = verdicts(line_table(b["text"]), b.num_rows, w, stay)
             yield b.filter(pa.array(~failed & (share >= least)))
 
