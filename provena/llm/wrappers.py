@@ -6,7 +6,8 @@ expression over paths.  Where texts differ, a token becomes a text slot.  Where
 equal tokens, or of equal groups, it becomes a repeated group.  Where one side has tokens that the
 other lacks, they become optional.  Each part of the wrapper gathers how often it occurs, how long its
 texts are, how much of them is link text and whether they vary; that and its path decide whether it is
-content, and a page's text is what its own tokens have in content parts.
+content.  Each page decides by its own parts: those in article or main if it has some, else named ones,
+else those with few links.  Pages with and without text in article or main have separate wrappers.
 
 Hosts are dealt into groups of about ``GROUP`` pages, so a host of a third of all pages is many
 groups, each with its own wrapper; every page is in one group and none is dropped.
@@ -17,9 +18,9 @@ form a group by themselves.  Rows that repeat an id are handled one by one.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
-from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -149,7 +150,7 @@ def folded(paths: list[tuple[str, ...]]) -> list[list[int]]:
 class Wrapper:
     def __init__(self) -> None:
         self.parts: list[Part] = []
-        self.seen = 0
+        self.seen = self.distinct = 0
 
     def align(self, page: list[tuple[tuple[str, ...], str, int]]) -> list[Part]:
         """Generalises the wrapper so that it matches the page; the part that each leaf matched."""
@@ -186,25 +187,33 @@ class Wrapper:
         self.seen += 1
         return owner
 
-    def content(self) -> set[int]:
-        """Identities of the parts that hold the article."""
-        fair = [p for p in self.parts if not outside(p.path)]
-        # slots that are the same on every page of many belong to the template, unless marked as article
-        fair = [p for p in fair if any(tag_of(s) in INSIDE for s in p.path) or p.varies or self.seen < 3 or p.pages < self.seen]
-        marked = [p for p in fair if any(tag_of(s) in INSIDE for s in p.path)]
-        if marked:
-            return {id(p) for p in marked}
-        named = [p for p in fair if any(_GOOD_NAME.search(s.partition(".")[2].replace("=", " ")) for s in p.path)]
-        if named and sum(p.chars for p in named) >= 0.3 * sum(p.chars for p in fair):
-            return {id(p) for p in named}
-        return {id(p) for p in fair if p.links <= 0.5 * p.chars}
+    def template(self, part: Part) -> bool:
+        """Whether a slot is the same on every page of many with different texts."""
+        return not part.varies and self.distinct >= 3 and part.pages >= self.seen
+
+    def content(self, page: list[tuple[tuple[str, ...], str, int]], owner: list[Part]) -> list[str]:
+        """The article's texts of one aligned page, chosen by the parts that this page has."""
+        fair = [(t, p) for (_, t, _), p in zip(page, owner, strict=True) if not outside(p.path) and not self.template(p)]
+        inside = [t for t, p in fair if marked(p.path)]
+        if inside:
+            return inside
+        named = [t for t, p in fair if any(_GOOD_NAME.search(s.partition(".")[2].replace("=", " ")) for s in p.path)]
+        if named and sum(map(len, named)) >= 0.3 * sum(len(t) for t, _ in fair):
+            return named
+        return [t for t, p in fair if p.links <= 0.5 * p.chars]
 
 
 def tag_of(step: str) -> str:
     return step.partition(".")[0]
 
 
-def outside(path: Iterable[str]) -> bool:
+@functools.lru_cache(1 << 14)
+def marked(path: tuple[str, ...]) -> bool:
+    return any(tag_of(s) in INSIDE for s in path)
+
+
+@functools.lru_cache(1 << 14)
+def outside(path: tuple[str, ...]) -> bool:
     for step in path:
         tag, _, marks = step.partition(".")
         if tag in OUTSIDE:
@@ -215,12 +224,23 @@ def outside(path: Iterable[str]) -> bool:
 
 
 def extract_group(pages: list[str]) -> list[str]:
-    """Texts of pages of one host: one wrapper for all of them."""
-    wrapper = Wrapper()
+    """Texts of pages of one host: one wrapper for its pages with text in article or main, one for the others."""
     streams = [leaves(p) for p in pages]
-    owners = [wrapper.align(s) for s in streams]
-    good = wrapper.content()
-    return [" ".join(t for (_, t, _), o in zip(s, own, strict=True) if id(o) in good) for s, own in zip(streams, owners, strict=True)]
+    out = [""] * len(pages)
+    kinds: dict[bool, list[int]] = {}
+    for k, s in enumerate(streams):
+        if s:
+            kinds.setdefault(any(marked(p) and not outside(p) for p, _, _ in s), []).append(k)
+    for inside, mine in kinds.items():
+        wrapper, owners = Wrapper(), {}
+        for k in mine:  # copies of a page count once
+            if (key := tuple(streams[k])) not in owners:
+                owners[key] = wrapper.align(streams[k])
+        # pages that differ outside of what can be content are copies too
+        wrapper.distinct = len({tuple(t for p, t, _ in key if not outside(p) and marked(p) >= inside) for key in owners})
+        for k in mine:
+            out[k] = " ".join(wrapper.content(streams[k], owners[tuple(streams[k])]))
+    return out
 
 
 def extract_pages(df: DataFrame, group: int = GROUP, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -285,6 +285,16 @@ def test_page_without_article_uses_slots():
     assert wrappers.extract_group([page(i) for i in range(4)]) == [f"Body {i} text" for i in range(4)]
 
 
+def test_each_page_decides_by_its_own_parts():
+    article = lambda i: f"<nav>menu</nav><article><p>Text {i}</p><div>Share this</div></article>"
+    plain = lambda i: f"<nav>menu</nav><div>Fixed</div><div class='content'><p>Body {i}</p></div>"
+    pages = [f(i) for i in range(4) for f in (article, plain)]
+    want = [f"{w} {i}" for i in range(4) for w in ("Text", "Body")]
+    assert wrappers.extract_group([*pages, "plain words only", ""])[::2] == [*want[::2], "plain words only"]
+    assert wrappers.extract_group(pages) == want
+    assert wrappers.extract_group([article(0), "plain words only"])[1] == "plain words only"
+
+
 def test_pages_of_one_host_in_groups(spark):
     rows = [(i, f"https://Host.example/{i}", f"<nav>menu</nav><article><p>text {i}</p></article>") for i in range(30)] + [(30, None, None), (31, "no url", "<article>x</article>"), (31, "no url", "<article>x</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("part", F.lit(1))
