@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from provena.llm.common import saved, table
 
 GROUP = 128
-LOOK_AHEAD, LONGEST_GROUP = 40, 6
+LONGEST_GROUP = 6
+#: Rows of an alignment that are held at once.
+BLOCK = 1024
 #: Hosts of more than GROUP pages that are broadcast, some 20 MB; if there are more, a join by host deals them.
 MAX_LARGE_HOSTS = 200_000
 
@@ -107,23 +109,34 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 class Part:
     """One token of a wrapper: a path with a count range and a text slot."""
 
-    __slots__ = ("path", "optional", "repeated", "varies", "text", "pages", "chars", "links")
+    __slots__ = ("path", "optional", "repeated", "varies", "texts", "taken", "pages", "chars", "links")
 
     def __init__(self, path: tuple[str, ...]):
         self.path, self.optional, self.repeated, self.varies = path, False, False, False
-        self.text: str | None = None
+        self.texts: list[str] = []  # of the first page that has the part, one for each position of a run
+        self.taken = 0  # positions that the page in hand has filled
         self.pages = self.chars = self.links = 0
 
     def take(self, text: str, links: int) -> None:
-        if self.text is None:
-            self.text = text
-        elif text != self.text:
+        """The next text of the page in hand, compared with what other pages have at its position."""
+        if not self.taken:
+            self.pages += 1
+        if self.pages == 1:
+            self.texts.append(text)
+        elif self.taken >= len(self.texts) or text != self.texts[self.taken]:
             self.varies = True
+        self.taken += 1
         self.chars += len(text)
         self.links += links
 
+    def close(self) -> None:
+        """Ends the page in hand; runs of different lengths vary."""
+        if self.taken and self.taken != len(self.texts):
+            self.varies = True
+        self.taken = 0
+
     def regex(self) -> str:
-        name = "/".join(self.path) + ("#TEXT" if self.varies else "=" + (self.text or "")[:20])
+        name = "/".join(self.path) + ("#TEXT" if self.varies else "=" + "".join(self.texts[:1])[:20])
         return name + ({(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[self.optional, self.repeated])
 
 
@@ -147,6 +160,51 @@ def folded(paths: list[tuple[str, ...]]) -> list[list[int]]:
     return entries
 
 
+def common(a: list[tuple[str, ...]], b: list[tuple[str, ...]]) -> dict[int, int]:
+    """A longest common subsequence, as positions in b with theirs in a.
+
+    A row of the table is one integer with a bit for each entry of a, 0 where the length grows.  Only
+    every BLOCK-th row is kept; the rows between are made again on the way back."""
+    lo, m, n = 0, len(a), len(b)
+    while lo < min(m, n) and a[lo] == b[lo]:
+        lo += 1
+    while lo < min(m, n) and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+    out = {k: k for k in range(lo)} | {k: k + len(a) - len(b) for k in range(n, len(b))}
+    a, b = a[lo:m], b[lo:n]
+    if not a or not b:
+        return out
+    at: dict[tuple[str, ...], int] = {}
+    for k, path in enumerate(a):
+        at[path] = at.get(path, 0) | 1 << k
+    full = (1 << len(a)) - 1
+
+    def rows(v: int, start: int) -> list[int]:
+        made = [v]
+        for path in b[start : start + BLOCK]:
+            u = v & at.get(path, 0)
+            v = (v + u | v - u) & full
+            made.append(v)
+        return made
+
+    kept = [full]
+    for start in range(0, len(b) - BLOCK, BLOCK):
+        kept.append(rows(kept[-1], start)[-1])
+    j = len(a)
+    for block in range(len(kept) - 1, -1, -1):
+        made = rows(kept[block], block * BLOCK)
+        k = len(made) - 1
+        while k and j:
+            if made[k] >> j - 1 & 1:
+                j -= 1
+            elif not made[k - 1] >> j - 1 & 1:
+                k -= 1
+            else:
+                k, j = k - 1, j - 1
+                out[lo + block * BLOCK + k] = lo + j
+    return out
+
+
 class Wrapper:
     def __init__(self) -> None:
         self.parts: list[Part] = []
@@ -156,34 +214,33 @@ class Wrapper:
         """Generalises the wrapper so that it matches the page; the part that each leaf matched."""
         owner: list[Part] = [None] * len(page)  # type: ignore[list-item]
         entries = folded([p for p, _, _ in page])
-        parts, i = self.parts, 0
+        old, parts = self.parts, []
+        pairs = common([p.path for p in old], [page[at[0]][0] for at in entries])
+        i = 0
         for k, at in enumerate(entries):
-            path = page[at[0]][0]
-            j = next((j for j in range(i, min(len(parts), i + LOOK_AHEAD)) if parts[j].path == path), -1)
-            if j > i:  # skip parts only if fewer page tokens would be unmatched the other way round
-                d = next((d for d in range(k + 1, min(len(entries), k + (j - i))) if page[entries[d][0]][0] == parts[i].path), -1)
-                if d >= 0:
-                    j = -1
-            if j < 0 and i and parts[i - 1].path == path:
-                j = i - 1
-                parts[j].repeated = True  # a run that the wrapper had folded differently
-            if j < 0:
-                new = Part(path)
-                new.optional = self.seen > 0
-                parts.insert(i, new)
-                j = i
-            for skipped in parts[i:j]:
-                skipped.optional = True
-            part = parts[j]
+            path, j = page[at[0]][0], pairs.get(k, -1)
+            if j >= 0:
+                for skipped in old[i:j]:
+                    skipped.optional = True
+                parts += old[i : j + 1]
+                part, i = old[j], j + 1
+            elif parts and parts[-1].path == path:
+                part = parts[-1]
+                part.repeated = True  # a run that the wrapper had folded differently
+            else:
+                part = Part(path)
+                part.optional = self.seen > 0
+                parts.append(part)
             if len(at) > 1:
                 part.repeated = True
-            part.pages += 1
             for x in at:
                 part.take(page[x][1], page[x][2])
                 owner[x] = part
-            i = max(i, j + 1)
-        for left in parts[i:]:
+        for left in old[i:]:
             left.optional = True
+        self.parts = parts + old[i:]
+        for part in self.parts:
+            part.close()
         self.seen += 1
         return owner
 

@@ -295,6 +295,33 @@ def test_each_page_decides_by_its_own_parts():
     assert wrappers.extract_group([article(0), "plain words only"])[1] == "plain words only"
 
 
+def test_copies_of_a_page_without_article_keep_their_text():
+    page = "<nav>menu</nav><h1>Title</h1><div>Only block</div>"
+    assert wrappers.extract_group([page] * 5) == ["Title Only block"] * 5
+    assert wrappers.extract_group([page + f"<footer>{i}</footer>" for i in range(5)]) == ["Title Only block"] * 5
+
+
+def test_fixed_lists_and_far_parts_are_template():
+    page = lambda i, n: "<div>" + "".join(f"<div>line {k}</div>" for k in range(3)) + "</div>" + "".join(f"<p class=c{k}>Text {i} {k}</p>" for k in range(n)) + "<h4>Fixed</h4>"
+    sizes = [1, 100, 2, 60, 3]
+    assert wrappers.extract_group([page(i, n) for i, n in enumerate(sizes)]) == [" ".join(f"Text {i} {k}" for k in range(n)) for i, n in enumerate(sizes)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcde"), max_size=12), st.sampled_from([1, 2, 1024]))
+def test_common_is_longest(a, b, block):
+    was, wrappers.BLOCK = wrappers.BLOCK, block
+    try:
+        got = sorted(wrappers.common([(x,) for x in a], [(x,) for x in b]).items())
+    finally:
+        wrappers.BLOCK = was
+    assert all(a[j] == b[k] for k, j in got) and all(x[1] < y[1] for x, y in itertools.pairwise(got))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    assert len(got) == best[-1][-1]
+
+
 def test_pages_of_one_host_in_groups(spark):
     rows = [(i, f"https://Host.example/{i}", f"<nav>menu</nav><article><p>text {i}</p></article>") for i in range(30)] + [(30, None, None), (31, "no url", "<article>x</article>"), (31, "no url", "<article>x</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("part", F.lit(1))
