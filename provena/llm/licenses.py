@@ -8,6 +8,10 @@ template allows is ruled out before a bigram is made, and of the others each mee
 of fitting size.  Before that, texts and units that hold none of a few anchor words go: the anchors
 are chosen so that every possible match holds one.  Templates are a literal of fixed size; there is no join and no shuffle.
 
+With ``windows``, notices within longer lines and texts are found too: of a text with enough bigrams of a
+template, each run of as many words as the template has that starts with one of its bigrams is a unit,
+across lines and without a limit on the length of the text.
+
 Returns one row for each document with a match: its licences, sorted, the best one, and its score.
 Null and empty texts, and units of one word, match nothing.  Ties go to the name that sorts first.
 """
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +50,16 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Longer texts, and licences without a short notice above; only windows of a text are as long as these.
+TEXTS = (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+)
+
 
 def _words(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split()
@@ -82,7 +97,38 @@ def anchors(templates=TEMPLATES, least: float = LEAST) -> list[str]:
         chosen.append(max(reach, key=lambda w: (w not in COMMON and not w.isdigit(), reach[w], len(w), w)))
 
 
-def find_licenses(df: DataFrame, least: float = LEAST, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _consecutive(w: Column) -> Column:
+    n = F.size(w)
+    return F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _in_windows(words: Column, least: float, templates) -> Column:
+    """(-dice, name) of each window of words that starts with a bigram of a template."""
+    known = [(name, len(_words(text)) - 1, g) for name, text in templates if (g := bigrams(_words(text)))]
+    every = F.array(*map(F.lit, sorted({x for _, _, g in known for x in g})))
+    # a match shares at least so many of the template's bigrams, in any order
+    need = [math.ceil(len(g) * least / (2 - least) - 1e-9) for _, _, g in known]
+    literal = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(k).alias("span"), F.lit(n).alias("need"), F.array(*map(F.lit, g)).alias("grams")) for (name, k, g), n in zip(known, need, strict=True)])
+
+    def score(t: Column, w: Column) -> Column:
+        return F.struct((-2.0 * F.size(F.array_intersect(t["grams"], w)) / (F.size(t["grams"]) + F.size(w))).alias("score"), t["name"].alias("name"))
+
+    def within(g: Column, t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: F.array_contains(t["grams"], F.element_at(g, i)))
+        return F.transform(starts, lambda i: _let(F.array_distinct(F.slice(g, i, t["span"])), lambda w: score(t, w)))
+
+    def possible(shared: Column) -> Column:
+        return F.filter(literal, lambda t: F.size(F.array_intersect(t["grams"], shared)) >= t["need"])
+
+    return _let(_consecutive(words), lambda g: F.flatten(F.transform(_let(F.array_intersect(g, every), possible), lambda t: within(g, t))))
+
+
+def find_licenses(df: DataFrame, least: float = LEAST, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", windows: bool = False) -> DataFrame:
     """doc_id, licenses (array), best, dice of every row that has one."""
     known = [(name, g, len(g)) for name, text in templates if (g := bigrams(_words(text)))]
     literal = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(k).alias("size")) for n, g, k in known])
@@ -100,29 +146,31 @@ def find_licenses(df: DataFrame, least: float = LEAST, templates=TEMPLATES, id_c
     units = F.filter(F.array_distinct(units), lambda u: spaces(u).between(fewest - 1, most - 1))
 
     def pairs(w: Column) -> Column:
-        n = F.size(w)
-        return F.array_distinct(F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b)))
+        return F.array_distinct(_consecutive(w))
 
     def against(g: Column) -> Column:
         size = F.size(g)
         fit = F.filter(literal, lambda t: (t["size"] <= size * ratio) & (size <= t["size"] * ratio))
         return F.transform(fit, lambda t: F.struct((-2.0 * F.size(F.array_intersect(t["grams"], g)) / (t["size"] + size)).alias("score"), t["name"].alias("name")))
 
-    rows = rows.select("doc_id", units.alias("units")).filter(F.size("units") > 0)
-    rows = rows.select("doc_id", F.transform("units", lambda u: F.split(u, " ")).alias("words"))
-    rows = rows.select("doc_id", F.transform("words", pairs).alias("grams"))
-    found = F.filter(F.flatten(F.transform("grams", against)), lambda m: m["score"] <= -least)
+    matches = lambda m: m["score"] <= -least
+    flat = F.split(F.trim(F.regexp_replace("normal", "[ \n]+", " ")), " ")
+    inner = F.filter(_in_windows(flat, least, templates), matches) if windows else F.array().cast("array<struct<score:double,name:string>>")
+    rows = rows.select("doc_id", units.alias("units"), inner.alias("inner")).filter((F.size("units") > 0) | F.lit(windows))
+    rows = rows.select("doc_id", "inner", F.transform("units", lambda u: F.split(u, " ")).alias("words"))
+    rows = rows.select("doc_id", "inner", F.transform("words", pairs).alias("grams"))
+    found = F.concat(F.filter(F.flatten(F.transform("grams", against)), matches), "inner")
     rows = rows.select("doc_id", found.alias("found")).filter(F.size("found") > 0)
     best = F.array_min("found")
     return rows.select("doc_id", F.array_sort(F.array_distinct(F.transform("found", lambda m: m["name"]))).alias("licenses"), best["name"].alias("best"), (-best["score"]).alias("dice"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_licenses(table(spark, sf_dir, "documents")).select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best", F.round("dice", 6).alias("dice"))
+    return find_licenses(table(spark, sf_dir, "documents"), templates=TEMPLATES + TEXTS, windows=True).select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best", F.round("dice", 6).alias("dice"))
 
 
 def oracle(least: float = LEAST, templates=TEMPLATES) -> str:
-    """The same as DuckDB SQL."""
+    """The same without windows and TEXTS as DuckDB SQL."""
     values = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{x}'" for x in bigrams(_words(t)))) for n, t in templates)
     fewest, most = bounds(templates, least)
     return f"""

@@ -169,6 +169,27 @@ def test_licenses(spark, tmp_path):
     assert licenses.find_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_within_longer_texts(spark):
+    known = licenses.TEMPLATES + licenses.TEXTS
+    text = {n: t for n, t in known if n not in ("MIT", "BSD-3-Clause") or len(t) > 300}
+    rng = np.random.default_rng(5)
+    noise = lambda n: " ".join(rng.choice(["of", "the", "software", "license", "use", "as", "is", "qq", "\n"], n))
+    rows = ["Copyright 2020 Jane Doe. Released under the MIT License.", "We say that it is released under the MIT license, and go on with other words in the same line.", noise(300) + "\n * ".join(["", *text["BSD-3-Clause"].split(". ")]) + noise(2000), text["MIT"] + " " + text["MIT"], "Under the MIT. Released License the", None, ""]
+    rows += [f"{noise(k)} {t} {noise(90)}" for k, t in enumerate(text.values())]
+    got = {r.doc_id: r for r in licenses.find_licenses(frame(spark, rows, extra=False), templates=known, windows=True).collect()}
+    assert [got[k].best if k in got else None for k in range(7)] == ["MIT", "MIT", "BSD-3-Clause", "MIT", None, None, None]
+    assert all(name in got[7 + k].licenses and got[7 + k].dice == 1.0 for k, name in enumerate(text))
+    for k, t in enumerate(rows):
+        ws, want = licenses._words(t or ""), {}
+        for name, template in known:
+            g, size = set(licenses.bigrams(licenses._words(template))), len(licenses._words(template))
+            for i in range(len(ws) - 1):
+                w = set(licenses.bigrams(ws[i : i + size]))
+                if f"{ws[i]} {ws[i + 1]}" in g and (d := 2 * len(w & g) / (len(w) + len(g))) >= licenses.LEAST:
+                    want[name] = max(d, want.get(name, 0))
+        assert set(want) <= set(got[k].licenses if k in got else ()) and (not want or got[k].dice >= max(want.values()) - 1e-12)
+
+
 def test_every_match_holds_an_anchor():
     """Templates with as many words changed as a match allows, the anchors first."""
     must = set(licenses.anchors())
