@@ -37,7 +37,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
-_DER = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}={0,2}")
+#: The look behind comes after the first letters, which are searched for fast.
+_DER = re.compile(r"M(?<![A-Za-z0-9+/]M)[A-Za-z0-9+/]{39,}={0,2}")
+#: Hex runs in capitals, or in both cases, that may hold a key; those in small letters are known already.
+_CAPITALS = re.compile(r"30(?<![0-9A-F]30)[0-9A-F]{78,}")
+_MIXED = re.compile(r"30(?<![0-9A-Fa-f]30)[0-9A-Fa-f]{78,}")
 _SSH = re.compile(r"b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]+={0,2}")
 _BASIC = re.compile(r"\bBasic ([A-Za-z0-9+/]{8,}={0,2})")
 
@@ -131,12 +135,12 @@ def structural_spans(text: str, hex_runs: list[tuple[int, int]]) -> list[tuple[s
             if data and (key_kind(data) or openssh_key(data)):
                 out.append(("pem", m.start(), m.end()))
     inside = lambda at: any(k == "pem" and a <= at < b for k, a, b in out)
-    if "MI" in text or "MC" in text or "MH" in text or "ME" in text or "MF" in text or "MG" in text:
-        for m in _DER.finditer(text):
-            data = unbase64(m[0])
-            if data and data[0] == 0x30 and key_kind(data) and not inside(m.start()):
-                out.append(("der", m.start(), m.end()))
-    for a, b in hex_runs:
+    for m in _DER.finditer(text):
+        data = unbase64(m[0])
+        if data and data[0] == 0x30 and key_kind(data) and not inside(m.start()):
+            out.append(("der", m.start(), m.end()))
+    more = {m.span() for x in (_CAPITALS, _MIXED) for m in x.finditer(text)}
+    for a, b in [*hex_runs, *sorted(more.difference(hex_runs))]:
         if b - a >= 80 and text.startswith("30", a) and (b - a) % 2 == 0 and key_kind(bytes.fromhex(text[a:b])):
             out.append(("der", a, b))
     if "b3BlbnNzaC1rZXktdjEA" in text:

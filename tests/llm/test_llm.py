@@ -406,6 +406,17 @@ def test_structure():
     assert secrets.der_items(b"\x30\x81\x05abcde") is None and secrets.unbase64("A") is None
 
 
+def test_short_keys_and_hex_in_capitals():
+    import pyarrow as pa
+
+    key = der((0x30, der((2, b"\1"), (4, b"\7" * 32), (0xA0, der((6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07"))))))
+    b64 = base64.b64encode(key).decode()
+    assert len(key) == 51 and b64.startswith("MD") and secrets.key_kind(key) == "sec1"
+    for t in (b64, key.hex().upper(), key.hex(), key.hex()[:9] + key.hex()[9:].upper()):
+        assert [s for s in secrets.scan(pa.array([f"é a {t} b"]))[0] if s[0] == "der"] == [("der", 4, 4 + len(t))]
+    assert not [s for s in secrets.scan(pa.array([f"x{b64} A{key.hex().upper()} {key.hex().upper()}00"]))[0] if s[0] == "der"]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="abcdef0123456789AKIX ='\":é_-\n", max_size=60).map(lambda s: s.replace("x", "token=")), max_size=5))
 def test_base_spans(rows):
