@@ -146,6 +146,18 @@ def test_filter_levels():
     assert (f.levels(other, np.zeros(len(other), np.int64)) > 0).mean() < 0.05
 
 
+def test_buckets_without_training_words(spark):
+    f = lm.LogFilter({1: b"\xff" * 8}, 4)
+    key = common.mix(np.arange(1, 9, dtype=np.uint64))
+    assert f.levels(key, np.arange(8) % 4).tolist() == [0, 64, 0, 0] * 2
+    rows = ["one two three four"] * 40 + [f"other words {k} of no training text" for k in range(60)]
+    docs = common.id_text(frame(spark, rows, extra=False))
+    model = lm.LogFrequencyModel.fit(docs.filter(F.col("doc_id") < 40), 2048 * 64)
+    got, routed = ({r.doc_id: r for r in model.score(docs, max_broadcast=n).collect()} for n in (lm.MAX_BROADCAST, 0))
+    assert model.buckets == 64 and len(got) == 100
+    assert all(routed[i].score == pytest.approx(got[i].score) and routed[i].base_score == pytest.approx(got[i].base_score) for i in got)
+
+
 def test_probabilities_sum_to_one_at_most():
     cw = np.array([5.0, 3, 2, 0])
     p = 10 ** lm.log_probabilities(cw, np.full(4, 4.0), np.full(4, 2.0), np.array([3.0, 1, 0, 0]), 10, 3)
