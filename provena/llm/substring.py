@@ -164,6 +164,23 @@ class FingerprintIndex:
             full, self.levels[level] = self.levels[level], []
             self.add(self.compacted(full), level + 1)
 
+    def save(self, path: str) -> None:
+        """Writes all runs, with their levels, and how they were made."""
+        runs = [r.select(F.lit(k).alias("level"), F.lit(i).alias("run"), "bucket", "keys") for k, level in enumerate(self.levels) for i, r in enumerate(level)]
+        rows = self.spark.createDataFrame([], "level int, run int, bucket int, keys binary")
+        for r in runs:
+            rows = rows.unionByName(r)
+        rows.write.parquet(f"{path}/runs")
+        about = [(self.buckets, self.window, self.gram, [len(level) for level in self.levels])]
+        self.spark.createDataFrame(about, "buckets int, window int, gram int, runs array<int>").write.parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        about = spark.read.parquet(f"{path}/about").first()
+        index, rows = cls(spark, about.buckets, about.window, about.gram), spark.read.parquet(f"{path}/runs")
+        index.levels = [[rows.filter((F.col("level") == k) & (F.col("run") == i)).select("bucket", "keys") for i in range(n)] for k, n in enumerate(about.runs)]
+        return index
+
     @staticmethod
     def compacted(runs: list[DataFrame]) -> DataFrame:
         rows = runs[0]
@@ -324,18 +341,25 @@ def _power(n: int) -> int:
     return 1 << max(0, (n - 1).bit_length())
 
 
-def remove_repeats(docs: DataFrame, make, schema: str, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """Runs docs (doc_id, text, ...) through a new index, batch by batch in order of ids."""
+def remove_repeats(docs: DataFrame, make, schema: str, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: FingerprintIndex | None = None, past: DataFrame | None = None) -> DataFrame:
+    """Runs docs (doc_id, text, ...) through a new index, batch by batch in order of ids.
+
+    With an index of earlier data, past (doc_id, text) is that data: it is searched for the passages that
+    the index shows as shared, and stays as it is.  The index gains the new batches."""
+    if (index is None) != (past is None):
+        raise ValueError("an index goes with the texts that are in it")
+    if index is not None and (index.window, index.gram) != (window, gram):
+        raise ValueError("the index has other windows")
     spark = docs.sparkSession
     small_batches(spark)
     told = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     if not told.n:
         return spark.createDataFrame([], schema)
     parts = shuffles(spark)
-    buckets = _power(max(parts, told.n // 4096))
+    buckets = _power(max(parts, told.n // 4096)) if index is None else index.buckets
     blocks = max(2 * parts, told.n // 1024)
     cuts = [told.lo + (told.hi + 1 - told.lo) * k // batches for k in range(batches + 1)]
-    index = FingerprintIndex(spark, buckets, window, gram)
+    index = FingerprintIndex(spark, buckets, window, gram) if index is None else index
     gone = None
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         if lo == hi:
@@ -346,9 +370,11 @@ def remove_repeats(docs: DataFrame, make, schema: str, window: int = WINDOW, gra
             continue
         held = spark.sparkContext.broadcast(flat)
         cands = candidate_windows(batch.select("doc_id", "text"), held, shift, buckets, window, gram, False)
+        history = [] if past is None else [past.select("doc_id", "text")]
         if lo > told.lo:
-            past = docs.filter(F.col("doc_id") < lo).select("doc_id", "text")
-            cands = cands.unionByName(candidate_windows(past, held, shift, buckets, window, gram, True))
+            history.append(docs.filter(F.col("doc_id") < lo).select("doc_id", "text"))
+        for old in history:
+            cands = cands.unionByName(candidate_windows(old, held, shift, buckets, window, gram, True))
         one = removed_windows(cands, blocks)
         gone = one if gone is None else gone.unionByName(one)
     if gone is None:

@@ -543,6 +543,29 @@ def test_substring_documents(spark):
     assert substring.remove_from_documents(df.limit(0)).count() == 0
 
 
+def test_new_documents_against_a_saved_index(spark, tmp_path):
+    rows = texts()
+    docs, half, schema = common.id_text(frame(spark, rows)), len(rows) // 2, "doc_id long, n long, n_removed long, sha string"
+
+    def make(t, starts):
+        import pyarrow as pa
+
+        x = [substring.kept_words(s.encode(), k, 20) for s, k in zip(t["text"].to_pylist(), starts, strict=True)]
+        return pa.table({"doc_id": t["doc_id"], "n": pa.array([r[0] for r in x], pa.int64()), "n_removed": pa.array([r[1] for r in x], pa.int64()), "sha": pa.array([hashlib.sha256(r[2]).hexdigest() for r in x])})
+
+    old, new = docs.filter(F.col("doc_id") < half), docs.filter(F.col("doc_id") >= half)
+    index = substring.FingerprintIndex(spark, 4)
+    for k in range(5):  # one compaction
+        index.merge(old.filter(F.col("doc_id") % 5 == k))
+    index.save(f"{tmp_path}/index")
+    again = substring.FingerprintIndex.load(spark, f"{tmp_path}/index")
+    assert [len(x) for x in again.levels] == [1, 1]
+    got = {r.doc_id: tuple(r)[1:] for r in substring.remove_repeats(new, make, schema, index=again, past=old).collect()}
+    want = brute_substring(rows)
+    assert got == {i: want[i] for i in range(half, len(rows))} and sum(map(len, again.levels)) > 2
+    assert any(r != brute_substring([None] * half + rows[half:])[i] for i, r in got.items())  # some repeat old passages only
+
+
 def test_index_compacts_its_runs(spark):
     index = substring.FingerprintIndex(spark, 4)
     docs = common.id_text(frame(spark, texts()))
