@@ -18,6 +18,7 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -28,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provena.llm.common import id_text, map_arrow, table
 
-#: Chunks and token pairs that a worker remembers. Chunks: two generations of this many; the older goes.
-CACHE = 200_000
+#: Chunks of at most 64 characters that a worker remembers, in two generations; some 400 bytes each, 50 MB in all.
+CACHE = 1 << 16
+#: Token pairs that a worker remembers, some 150 bytes each.
+PAIRS = 200_000
 _UNEVEN = re.compile(r"\s | \s|^ | $").search
 
 
@@ -119,7 +122,7 @@ class ByteCoder:
         got = self._may_meet.get(key)
         if got is not None:
             return got
-        if len(self._may_meet) >= CACHE:
+        if len(self._may_meet) >= PAIRS:
             self._may_meet.clear()
         a, b, bound, words, ranks = left, right, 1 << 60, self.words, self.ranks
         ok = True
@@ -194,6 +197,18 @@ class ByteCoder:
         return b"".join(map(self.words.__getitem__, ids))
 
 
+@contextmanager
+def no_cycles():
+    """No search for cycles where none are made, which would take a third of the time; on again after."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> ByteCoder:
     return ByteCoder(read_ranks(path), pattern)
@@ -219,14 +234,14 @@ def encode_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         name = {i: str(i) for i in c.words}
-        gc.disable()  # nothing here makes cycles, and looking for them takes a third of the time
         for b in it:
             count, one, two = [], [], []
-            for t in b["text"].to_pylist():
-                ids = c.encode(t)
-                count.append(len(ids))
-                one.append(hashlib.sha256(" ".join(map(name.__getitem__, ids)).encode()).hexdigest())
-                two.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            with no_cycles():
+                for t in b["text"].to_pylist():
+                    ids = c.encode(t)
+                    count.append(len(ids))
+                    one.append(hashlib.sha256(" ".join(map(name.__getitem__, ids)).encode()).hexdigest())
+                    two.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(count, pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(id_text(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,21 +1,27 @@
 """Shared pieces of the training-data operators: Arrow maps, word hashing over raw bytes, checkpoints.
 
 A word is ``[^\\x20\\x09-\\x0D]+``.  Words are hashed without being built as Python objects: a batch
-of texts stays one byte buffer, a prefix sum of ``value[byte] * P**i`` gives each word's 64-bit hash
-in a few vector passes.  Two different words share a hash with probability about 2**-64.
+of texts stays one byte buffer, a prefix sum of ``value[byte] * P**i`` over tiles of fixed size gives
+each word's 64-bit hash in a few vector passes.  Two different words share a hash with probability about 2**-64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text per Arrow batch: some MB of text, whatever the length of the table.
 BATCH_ROWS = 1024
+#: Bytes of text that a worker takes in hand at once; a longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
+#: Bytes, or words, that are hashed at once; longer runs go through in tiles, so scratch memory is fixed.
+TILE = 1 << 16
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -41,18 +47,15 @@ def _byte_values() -> tuple[np.ndarray, np.ndarray]:
 _PLAIN, _LOWER = _byte_values()
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and extended by doubling."""
-    have = _POWERS.get(base)
-    if have is None:
-        have = np.ones(1, dtype=np.uint64)
-    while len(have) < n:
+@lru_cache(maxsize=32)
+def _powers(base: int, extra: int = 0) -> np.ndarray:
+    """base**0 .. base**(TILE + extra - 1) modulo 2**64: half a megabyte, however long the texts are."""
+    have = np.ones(1, dtype=np.uint64)
+    while len(have) < TILE + extra:
         have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    _POWERS[base] = have
-    return have[:n]
+    return have[: TILE + extra].copy()
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,28 +95,51 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hash of the bytes of each span; spans rise and do not overlap."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    value, up, down = _LOWER if lower else _PLAIN, _powers(_BASE), _powers(_BASE_INV)
+    total = np.zeros(TILE + 1, dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(ends, a + TILE, side="right"))
+        if j > i:
+            n = int(ends[j - 1]) - a
+            np.cumsum(value[buf[a : a + n]] * up[:n], out=total[1 : n + 1])
+            lo = starts[i:j] - a
+            out[i:j] = (total[ends[i:j] - a] - total[lo]) * down[lo]
+            i = j
+        else:  # a span longer than a tile
+            h = 0
+            for at in range(a, int(ends[i]), TILE):
+                part = value[buf[at : min(at + TILE, int(ends[i]))]]
+                h += int((part * up[: len(part)]).sum()) * pow(_BASE, at - a, 1 << 64)
+            out[i] = h % (1 << 64)
+            i += 1
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, word offsets of the texts, byte starts, byte ends, bytes)."""
     buf, offsets = text_buffer(texts)
     starts, ends, woff = word_spans(buf, offsets)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), woff, starts, ends, buf
-    total = np.empty(len(buf) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum((_LOWER if lower else _PLAIN)[buf] * powers(_BASE, len(buf)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_BASE_INV, len(buf))[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), woff, starts, ends, buf
+    return span_hashes(buf, starts, ends, lower), woff, starts, ends, buf
 
 
 def window_hashes(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hash of each run of n consecutive entries of h; len(h) - n + 1 of them, order matters."""
-    if len(h) < n:
+    count = len(h) - n + 1
+    if count <= 0:
         return np.zeros(0, dtype=np.uint64)
     base = (_BASE + 2 * salt * 0x632BE59BD9B4E019) & ((1 << 64) - 1) | 1
-    total = np.empty(len(h) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(h * powers(base, len(h)), out=total[1:])
-    return mix((total[n:] - total[:-n]) * powers(pow(base, -1, 1 << 64), len(h))[: len(h) - n + 1])
+    up, down = _powers(base, n), _powers(pow(base, -1, 1 << 64))
+    out, total = np.empty(count, dtype=np.uint64), np.zeros(TILE + n, dtype=np.uint64)
+    for at in range(0, count, TILE):
+        k = min(TILE, count - at)
+        np.cumsum(h[at : at + k + n - 1] * up[: k + n - 1], out=total[1 : k + n])
+        out[at : at + k] = mix((total[n : k + n] - total[:k]) * down[:k])
+    return out
 
 
 def window_mask(woff: np.ndarray, n: int, count: int) -> np.ndarray:
@@ -135,7 +161,9 @@ def doc_of(woff: np.ndarray) -> np.ndarray:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, unless the session already asks for smaller ones."""
+    """Keep Arrow batches of texts small, unless the session already asks for smaller ones.
+
+    Only queries and pipeline stages call this; operators leave the session as it is and cut what they get."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
@@ -155,22 +183,30 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+def row_bytes(b: pa.RecordBatch) -> np.ndarray:
+    """Bytes of strings and binaries in each row, and some for the rest."""
+    size = np.full(b.num_rows, 64, np.int64)
+    for c in b.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(c), 0), dtype=np.int64)
+    return size
 
 
-def batches(it: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes each, or of one row."""
+def batches(it: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes and BATCH_ROWS rows, or of one longer row."""
     for b in it:
-        if b.nbytes <= limit:
-            if b.num_rows:
-                yield b
-            continue
-        parts = min(b.num_rows, -(-b.nbytes // limit))
-        step = -(-b.num_rows // parts)
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
+        total = np.cumsum(row_bytes(b))
+        i = 0
+        while i < b.num_rows:
+            before = int(total[i - 1]) if i else 0
+            j = min(max(i + 1, int(np.searchsorted(total, before + limit, side="right"))), i + BATCH_ROWS)
+            yield b.slice(i, j - i)
+            i = j
+
+
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow over batches of bounded size."""
+    return df.mapInArrow(lambda it: fn(batches(it)), schema)
 
 
 def shared_dir(spark: SparkSession) -> None:
@@ -182,9 +218,12 @@ def shared_dir(spark: SparkSession) -> None:
     if told is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import atexit
+        import shutil
         import tempfile
 
         told = tempfile.mkdtemp(prefix="provena_checkpoints_")
+        atexit.register(shutil.rmtree, told, ignore_errors=True)
     sc.setCheckpointDir(told)
 
 
@@ -199,6 +238,8 @@ def shuffles(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as the queries read it."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

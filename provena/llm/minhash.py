@@ -8,16 +8,21 @@
    of n gives n-1 links.  Links whose sizes, or whose similarity as estimated by bit counts and
    corrected for chance agreement, exclude the threshold fall out; the others are confirmed on the
    full sets.
-3. Buckets whose members are by then all connected are done.  The others are cut into chunks; a task
-   holds two chunks with their sets and confirms only pairs across components whose sizes and estimate
-   allow a link.  It returns spanning edges, never pairs.
+3. Buckets whose members are by then all connected are done.  In the others the largest component is
+   set against the rest, and the rest against itself, in cells of bounded size.  First with signatures
+   alone: a representative goes on if some other component has one that it may link with and that it
+   meets in no earlier band.  Only for those are sets made and sent; a cell confirms the pairs and
+   returns spanning edges, never pairs.
 4. Components of confirmed links.
 
 A pair at the threshold shares no band with probability (1 - t**ROWS)**BANDS, 4e-7 at 0.85, and the
 estimate errs by over five standard deviations below ``t - SLACK``.
 
 Texts without a word, and nulls, have the empty set and link with nothing.  Texts with fewer words
-than a shingle have one shingle, the whole sequence.  Rows that repeat a doc_id share its component.
+than a shingle have one shingle, the whole sequence.  Rows that repeat a doc_id are one document: they
+share its component and are linked by the text of any of them.  Rows without a doc_id link with
+nothing: their component is null and they are not kept.  Other columns of the table are not looked at.
+A long text is hashed in tiles; its memory is some eight times its words, at eight bytes each.
 """
 
 from __future__ import annotations
@@ -26,57 +31,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import free_name, id_text, map_arrow, mix, saved, table, window_hashes, word_hashes
+from provena.llm.common import free_name, id_text, map_arrow, mix, saved, table, window_hashes, window_mask, word_hashes
 from provena.llm.graph import Sets, components
 
 HASHES, BANDS, ROWS, SLACK = 128, 25, 5, 0.2
-#: Members of a bucket that a task compares with as many others.
-OPEN_CHUNK = 1024
+#: Representatives on each side of a cell while only signatures are compared, and shingles while sets are.
+CELL_ROWS, CELL_ITEMS = 8192, 1 << 20
+#: Bits of the broadcast bitmap of wanted ids, 8 MB; a fuller one lets more texts through to the joins.
+MOST_BITS = 1 << 26
 _RNG = np.random.default_rng(20240601)
 _A = (_RNG.integers(1, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes of 54 bits, sorted within each text; offsets of the texts)."""
+    """(distinct shingle hashes of 54 bits, sorted within each text; offsets of the texts), of up to 1024 texts."""
     h, woff, *_ = word_hashes(texts, lower=True)
     count = len(woff) - 1
     words = np.diff(woff)
-    w = window_hashes(h, n)
-    doc = np.repeat(np.arange(count, dtype=np.uint64), words)
-    windows = np.maximum(words - n + 1, 0)
-    if len(w):
-        first = np.repeat(woff[:-1] - np.r_[0, np.cumsum(windows)[:-1]], windows)
-        at = np.arange(windows.sum()) + first
-        w = w[at]
-        owner = doc[at]
-    else:
-        owner = np.zeros(0, np.uint64)
+    key = window_hashes(h, n)
+    key = mix(key[window_mask(woff, n, len(key))])
+    key >>= np.uint64(10)
+    key |= np.repeat(np.arange(count, dtype=np.uint64) << np.uint64(54), np.maximum(words - n + 1, 0))
     for k in range(1, n):  # whole sequences shorter than a shingle
         few = np.flatnonzero(words == k)
         if len(few):
             x = np.full(len(few), k, np.uint64)
             for j in range(k):
                 x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[woff[few] + j])
-            w, owner = np.r_[w, x], np.r_[owner, few.astype(np.uint64)]
-    w = mix(w) >> np.uint64(10)
-    # sort by text, then hash; texts of a batch are few, so both fit one key of 64 bits by parts
-    parts, offs = [], [np.zeros(1, np.int64)]
-    total = 0
-    for base in range(0, max(count, 1), 1024):
-        mine = (owner >= base) & (owner < base + 1024)
-        key = np.sort(((owner[mine] - np.uint64(base)) << np.uint64(54)) | w[mine])
-        if len(key):
-            key = key[np.r_[True, key[1:] != key[:-1]]]
-        here = min(1024, count - base) if count else 0
-        bounds = np.searchsorted(key, np.arange(1, here + 1, dtype=np.uint64) << np.uint64(54)) if here < 1024 else np.r_[np.searchsorted(key, np.arange(1, here, dtype=np.uint64) << np.uint64(54)), len(key)]
-        offs.append(bounds.astype(np.int64) + total)
-        total += len(key)
-        parts.append(key & np.uint64((1 << 54) - 1))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(offs)
+            key = np.r_[key, few.astype(np.uint64) << np.uint64(54) | mix(x) >> np.uint64(10)]
+    key.sort()
+    if len(key):
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+    inner = np.searchsorted(key, np.arange(1, count, dtype=np.uint64) << np.uint64(54)) if count > 1 else []
+    return key & np.uint64((1 << 54) - 1), np.r_[[0], inner, [len(key)] * min(count, 1)].astype(np.int64)
 
 
 def minima(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -120,22 +112,23 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 _SIG = "doc_id long, n long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
+def digests(sets: np.ndarray, off: np.ndarray, salt: int) -> np.ndarray:
+    """A signed 64-bit sum of each set's mixed entries."""
+    total = np.zeros(len(sets) + 1, np.uint64)
+    np.cumsum(mix(sets ^ np.uint64(salt * 0x100000001B3 % (1 << 64))), out=total[1:])
+    return (total[off[1:]] - total[off[:-1]]).view(np.int64)
+
+
 def signatures(df: DataFrame, words: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sets, off = shingle_sets(b["text"], words)
-            n = np.diff(off)
-            pad = np.r_[sets, np.zeros(1, np.uint64)]
-            sums = []
-            for salt in (0x51ED270B, 0x2545F491):
-                s = np.cumsum(mix(pad ^ np.uint64(salt * 0x100000001B3 % (1 << 64))))
-                s = np.r_[np.zeros(1, np.uint64), s]
-                sums.append((s[off[1:]] - s[off[:-1]]).view(np.int64))
+            sums = [pa.array(digests(sets, off, salt)) for salt in (0x51ED270B, 0x2545F491)]
             m = minima(sets, off)
             sig = packed_bits(m).view(np.int64)
             keys = band_keys(m).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), *map(pa.array, sums), *[pa.array(np.ascontiguousarray(sig[:, k])) for k in range(4)], bands], [c.split()[0] for c in _SIG.split(", ")])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.diff(off), pa.int64()), *sums, *[pa.array(np.ascontiguousarray(sig[:, k])) for k in range(4)], bands], [c.split()[0] for c in _SIG.split(", ")])
 
     return map_arrow(df, run, _SIG)
 
@@ -155,10 +148,10 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return (small * 100 >= large * percent) & (agreement(x, y) >= percent / 100 - SLACK)
 
 
-def id_bitmap(wanted: DataFrame):
-    """(broadcast bitmap of hashed ids, its number of bits): 16 bits an id, 8 MB at most."""
+def id_bitmap(wanted: DataFrame, most: int = MOST_BITS):
+    """(broadcast bitmap of hashed ids, its number of bits): 16 bits an id, ``most`` in all."""
     count = wanted.count()
-    bits = 1 << min(26, max(15, (16 * count).bit_length()))
+    bits = 1 << min(most.bit_length() - 1, max(15, (16 * count).bit_length()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     # Spark numbers bits from 1, in buckets of 32768 that are numbered from 1 too
     rows = wanted.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
@@ -168,12 +161,12 @@ def id_bitmap(wanted: DataFrame):
     return wanted.sparkSession.sparkContext.broadcast(flat), bits
 
 
-def sets_of(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id and set of the wanted ids.
+def sets_of(df: DataFrame, wanted: DataFrame, words: int, most: int = MOST_BITS) -> DataFrame:
+    """rep, digest and items (sorted shingles) of the wanted ids, one row for each different set.
 
     A bitmap of the ids, of bounded size, goes to all tasks and keeps most other texts from being cut
-    into shingles; ids that pass it by chance meet no link later."""
-    held, bits = id_bitmap(wanted)
+    into shingles; ids that pass it by chance fall out by the join."""
+    held, bits = id_bitmap(wanted, most)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,96 +177,174 @@ def sets_of(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 continue
             b = b.take(pa.array(take))
             sets, off = shingle_sets(b["text"], words)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "items"])
+            at = off.tolist()
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(digests(sets, off, 0x51ED270B)), pa.array([sets[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["rep", "digest", "items"])
+
+    rows = map_arrow(df.filter("doc_id is not null").withColumn("p", place), run, "rep long, digest long, items binary")
+    return rows.join(wanted.select(F.col("doc_id").alias("rep")), "rep", "left_semi").dropDuplicates(["rep", "digest"])
 
-    return map_arrow(df.withColumn("p", place), run, "doc_id long, items array<long>")
+
+def common_items(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Size of the intersection of each pair of sorted sets; up to 1024 pairs."""
+    size = np.array([(len(a) + len(b)) // 8 for a, b in zip(x, y, strict=True)])
+    owner = np.repeat(np.arange(len(x), dtype=np.uint64), size)
+    key = np.frombuffer(b"".join(v for pair in zip(x, y, strict=True) for v in pair), np.uint64) | owner << np.uint64(54)
+    key.sort()
+    return np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(54)).astype(np.int64), minlength=len(x))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = saved(sets_of(docs, ids, words).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+    ids = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = saved(sets_of(docs, ids, words).select("rep", "items"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x, y = b["x"].to_pylist(), b["y"].to_pylist()
+            common = common_items(x, y)
+            union = np.array([(len(v) + len(w)) // 8 for v, w in zip(x, y, strict=True)]) - common
+            yield b.select(["a", "b"]).filter(pa.array(common * 100 >= union * percent))
+
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
+    return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
+
 
+def in_cells(rows: DataFrame, most: int) -> DataFrame:
+    """rows (band, rep, component, weight, ...) of buckets with several components, dealt to cells.
 
-_OPEN = "band long, c1 int, c2 int, side int, rep long, component long, n long, s0 long, s1 long, s2 long, s3 long, bands array<long>, items array<long>"
+    Side 0 of a cell is a chunk of the members outside the bucket's largest component, side 1 a chunk of
+    the largest one (c2 < 0), or another chunk of the others; the cells of one bucket cover all pairs
+    across components.  A bucket in one cell shares its ``task`` with other such buckets."""
+    by_component = rows.groupBy("band", "component").agg(F.sum("weight").alias("weight"))
+    told = by_component.groupBy("band").agg(F.max(F.struct("weight", "component")).alias("top"), F.sum("weight").alias("all")).filter(F.col("all") > F.col("top.weight"))
+    told = told.select("band", F.col("top.component").alias("anchor"), F.ceil((F.col("all") - F.col("top.weight")) / most).cast("int").alias("others"), F.ceil(F.col("top.weight") / most).cast("int").alias("tops"))
+    top = F.col("component") == F.col("anchor")
+    x = rows.join(told, "band").withColumn("c", F.pmod(F.xxhash64("rep", F.lit(1)), F.when(top, F.col("tops")).otherwise(F.col("others"))).cast("int"))
+    cell = lambda c1, c2, side: F.struct(c1.cast("int").alias("c1"), c2.cast("int").alias("c2"), side.cast("int").alias("side"))
+    c = F.col("c")
+    with_top = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda k: cell(c, -1 - k, F.lit(0)))
+    with_others = F.transform(F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda o: o != c), lambda o: cell(F.least(c, o), F.greatest(c, o), c > o))
+    as_top = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: cell(o, -1 - c, F.lit(1)))
+    x = x.withColumn("cell", F.explode(F.when(top, as_top).otherwise(F.concat(with_top, with_others)))).select("*", "cell.c1", "cell.c2", "cell.side")
+    alone = (F.col("others") == 1) & (F.col("tops") == 1)
+    total = rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    shared = F.pmod(F.xxhash64("band"), F.lit(1 + 2 * total // most))
+    return x.withColumn("task", F.when(alone, shared).otherwise(F.xxhash64("band", "c1", "c2"))).drop("cell", "c", "others", "tops", "anchor")
 
 
-def across(rest: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Spanning edges (a, b) of confirmed links between different components of the same bucket.
+_CELL = ("task", "band", "c1", "c2", "side", "rep", "component", "n", "s0", "s1", "s2", "s3", "bands")
 
-    rest: band, rep, component, size of the bucket.  A task holds two chunks of a bucket with their
-    sets and confirms there each pair whose first shared band is this one; no pair leaves the task."""
-    ids = saved(rest.select(F.col("rep").alias("doc_id")).distinct())
-    items = saved(sets_of(docs, ids, words).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "items"))
-    full = reps.select("rep", "n", "s0", "s1", "s2", "s3", "bands").join(items, "rep")
-    chunks = F.ceil(F.col("size") / OPEN_CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    dealt = rest.withColumn("chunks", chunks).withColumn("c", mine).select("band", "rep", "component", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
-    dealt = dealt.select("band", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (F.col("c") > F.col("o")).cast("int").alias("side"), "rep", "component")
-    names = [x.split()[0] for x in _OPEN.split(", ")]
 
-    def compare(t: pa.Table) -> pa.Table:
+class Cells:
+    """The cells of one task: rows sorted by cell, side and representative."""
+
+    def __init__(self, t: pa.Table, percent: int):
         col = lambda c: np.asarray(t[c].combine_chunks())
-        rep, comp, n, side = col("rep"), col("component"), col("n"), col("side")
-        order = np.argsort(rep, kind="stable")
-        lists = t["items"].combine_chunks()
-        off = lists.offsets.to_numpy()
-        _, local = np.unique(np.asarray(lists.values), return_inverse=True)
-        keys = np.asarray(t["bands"].combine_chunks().values).reshape(-1, BANDS)[order]
-        here = int(np.flatnonzero(keys[0] == t["band"][0].as_py())[0])
-        sig = np.stack([col(f"s{k}") for k in range(4)], 1).view(np.uint64)[order]
-        begin, end = off[:-1][order], off[1:][order]
-        rep, comp, n, side = rep[order], comp[order], n[order], side[order]
-        sets = Sets(len(rep))
-        _, lead = np.unique(comp, return_index=True)
-        sets.join(np.arange(len(rep)), lead[np.unique(comp, return_inverse=True)[1]])
-        same = t["c1"][0].as_py() == t["c2"][0].as_py()
-        away = np.arange(len(rep)) if same else np.flatnonzero(side == 1)
+        self.band, self.c1, self.c2, self.side, self.rep, self.comp, self.n = map(col, ("band", "c1", "c2", "side", "rep", "component", "n"))
+        self.percent = percent
+        self.order = np.lexsort((self.rep, self.side, self.c2, self.c1, self.band))
+        for k in ("band", "c1", "c2", "side", "rep", "comp", "n"):
+            setattr(self, k, getattr(self, k)[self.order])
+        self.sig = np.stack([col(f"s{k}") for k in range(4)], 1).view(np.uint64)[self.order]
+        self.keys = np.asarray(t["bands"].combine_chunks().flatten()).reshape(-1, BANDS)[self.order]
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        new = (np.diff(self.band) != 0) | (np.diff(self.c1) != 0) | (np.diff(self.c2) != 0)
+        cuts = np.r_[0, np.flatnonzero(new) + 1, len(self.rep)].tolist()
+        yield from zip(cuts, cuts[1:], strict=False)
+
+    def pairs(self, a: int, z: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of the cell a..z that may link and share no earlier band, some at a time."""
+        rep, comp, n, sig, keys, percent = self.rep, self.comp, self.n, self.sig, self.keys, self.percent
+        home = a + int((self.side[a:z] == 0).sum())
+        inner = int(self.c2[a]) == -1  # the cell that also compares its side 0 with itself
+        here = int(np.flatnonzero(keys[a] == self.band[a])[0])
+        step = max(1, (1 << 17) // (z - a))
+        for s in range(a, home, step):
+            i, j = np.arange(s, min(home, s + step)), np.arange(s + 1 if inner else home, z)
+            ok = comp[i][:, None] != comp[j][None]
+            if inner:
+                ok &= i[:, None] < j[None]
+            x, y = n[i][:, None] * 100, n[j][None] * 100
+            ok &= (x >= n[j][None] * percent) & (y >= n[i][:, None] * percent)
+            p, q = np.nonzero(ok)
+            p, q = i[p], j[q]
+            d = sig[p] ^ sig[q]
+            differ = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
+            near = np.flatnonzero(((1 - differ / HASHES) - 0.25) / 0.75 >= percent / 100 - SLACK)
+            p, q = p[near], q[near]
+            first = ~(keys[p, :here] == keys[q, :here]).any(1)
+            if first.any():
+                yield p[first], q[first]
+
+
+def survivors(rows: DataFrame, percent: int, most: int = CELL_ROWS) -> DataFrame:
+    """Of rows (band, rep, component, n, s0.., bands): band and rep of those in a pair that may link."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cells = Cells(t, percent)
+        hit = np.zeros(len(cells.rep), bool)
+        for a, z in cells:
+            for p, q in cells.pairs(a, z):
+                hit[p] = hit[q] = True
+        return pa.table({"band": cells.band[hit], "rep": cells.rep[hit]})
+
+    dealt = in_cells(rows.withColumn("weight", F.lit(1)), most)
+    return dealt.select(*_CELL).groupBy("task").applyInArrow(run, "band long, rep long").distinct()
+
+
+def across(rows: DataFrame, docs: DataFrame, words: int, percent: int, cell_rows: int = CELL_ROWS, cell_items: int = CELL_ITEMS) -> DataFrame:
+    """Spanning edges (a, b) of confirmed links between different components of the same bucket."""
+    found = saved(survivors(rows, percent, cell_rows))
+    ids = saved(found.select(F.col("rep").alias("doc_id")).distinct())
+    items = saved(sets_of(docs, ids, words).select("rep", "items"))
+    dealt = in_cells(rows.join(found, ["band", "rep"], "left_semi").withColumn("weight", F.col("n")), cell_items)
+
+    def run(t: pa.Table) -> pa.Table:
+        cells = Cells(t, percent)
+        lists = t["items"].combine_chunks().take(pa.array(cells.order))
+        size = np.asarray(pc.binary_length(lists)).astype(np.int64) // 8
+        end = np.cumsum(size)
+        begin = end - size
+        _, local = np.unique(np.frombuffer(b"".join(lists.to_pylist()), np.uint64), return_inverse=True)
         mark = np.zeros(int(local.max(initial=-1)) + 1, np.int32)
-        for i in range(len(rep)) if same else np.flatnonzero(side == 0).tolist():
-            j = away[away > i] if same else away
-            j = j[sets.lead[j] != sets.lead[i]]
-            j = j[np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent]
-            if not len(j):
-                continue
-            x = sig[j] ^ sig[i]
-            differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
-            j = j[((1 - differ / HASHES) - 0.25) / 0.75 >= percent / 100 - SLACK]
-            j = j[~(keys[j, :here] == keys[i, :here]).any(1)]
-            if not len(j):
-                continue
-            mine = local[begin[i] : end[i]]
-            mark[mine] = 1
-            k = 0
-            while k < len(j):  # some hundred thousand entries at a time
-                m = k + max(1, int(np.searchsorted(np.cumsum(end[j[k:]] - begin[j[k:]]), 300_000)))
-                some = j[k:m]
-                size = end[some] - begin[some]
-                at = np.repeat(begin[some] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-                common = np.add.reduceat(mark[local[at]], np.r_[0, np.cumsum(size)[:-1]])
-                some = some[common * 100 >= (n[i] + n[some] - common) * percent]
-                sets.join(np.full(len(some), i), some)
-                k = m
-            mark[mine] = 0
-        # edges between components that this task has joined
-        e = np.flatnonzero(comp[sets.lead] != comp)
-        return pa.table({"a": rep[e], "b": rep[sets.lead[e]]})
-
-    rows = dealt.join(full, "rep").select(*names)
-    return rows.groupBy("band", "c1", "c2").applyInArrow(compare, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-
-
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        a_, b_ = [], []
+        for a, z in cells:
+            sets, comp = Sets(z - a), cells.comp[a:z]
+            _, lead, which = np.unique(comp, return_index=True, return_inverse=True)
+            sets.join(np.arange(z - a), lead[which])
+            for p, q in cells.pairs(a, z):
+                for i in np.unique(p).tolist():
+                    j = q[p == i]
+                    j = j[sets.lead[j - a] != sets.lead[i - a]]
+                    if not len(j):
+                        continue
+                    mine = local[begin[i] : end[i]]
+                    mark[mine] = 1
+                    k = 0
+                    while k < len(j):  # some hundred thousand items at a time
+                        m = k + max(1, int(np.searchsorted(np.cumsum(size[j[k:]]), 300_000)))
+                        some, starts = j[k:m], np.r_[0, np.cumsum(size[j[k:m]])[:-1]]
+                        at = np.repeat(begin[some] - starts, size[some]) + np.arange(size[some].sum())
+                        common = np.add.reduceat(mark[local[at]], starts)
+                        some = some[common * 100 >= (size[i] + size[some] - common) * percent]
+                        sets.join(np.full(len(some), i - a), some - a)
+                        k = m
+                    mark[mine] = 0
+            e = np.flatnonzero(comp[sets.lead] != comp)  # edges between components that this cell has joined
+            a_.append(cells.rep[a:z][e])
+            b_.append(cells.rep[a:z][sets.lead[e]])
+        return pa.table({"a": np.concatenate(a_), "b": np.concatenate(b_)})
+
+    return dealt.join(items, "rep").select(*_CELL, "items").groupBy("task").applyInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS, cell_items: int = CELL_ITEMS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set; null if empty)."""
     docs = id_text(df, id_col, text_col)
     sigs = saved(signatures(docs, words))
     key = ["d1", "d2", "n"]
-    reps = sigs.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "bands")])
+    reps = sigs.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "bands")])
     reps = saved(reps)
     small = reps.select("rep", "n", "s0", "s1", "s2", "s3")
     rows = reps.select("rep", F.explode("bands").alias("band"))
@@ -287,44 +358,56 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     stars = members.filter("rep <> least").groupBy("least", "rep").agg(F.lit(1).alias("one")).select(F.col("least").alias("a"), F.col("rep").alias("b"))
     stars = saved(stars.join(side("b", "y_"), "b").join(side("a", "x_"), "a").filter(may_link("x_", "y_", percent)).select("a", "b"))
     links = saved(confirmed(stars, docs, words, percent))
-    comps = components(links)
-    comps = saved(comps)
+    comps = saved(components(links))
     # buckets that hold more than one component
     placed = members.select("band", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = saved(placed)
-    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("band", "size")
-    rest = saved(placed.join(open_, "band"))
-    more = saved(across(rest, reps, docs, words, percent))
-    final = saved(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    rest = saved(placed.join(open_, "band", "left_semi").join(reps.select("rep", "n", "s0", "s1", "s2", "s3", "bands"), "rep"))
+    more = saved(across(rest, docs, words, percent, cell_rows, cell_items))
+    edges = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    twice = saved(sigs.filter("n > 0").groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    if not twice.isEmpty():  # an id ties the classes of its texts
+        edges = edges.unionByName(sigs.join(twice, "doc_id").join(reps.select(*key, "rep"), key).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    final = saved(components(edges))
     classes = reps.select(*key, "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     classes = saved(classes.select(*key, F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component")))
     out = sigs.select("doc_id", *key).join(classes, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"), "class_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "class_id")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in gone.
+def one_of_each(docs: DataFrame, found: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """docs less the rows that found (doc_id, kept) does not keep; of rows that repeat an id the least text stays.
 
-    A bitmap of gone ids, of bounded size, lets all other texts pass without a shuffle; only rows that
-    hit it, the gone ones and a few by chance, are joined with the ids."""
-    ids = saved(gone.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    A bitmap of the ids concerned, of bounded size, lets all other texts pass without a shuffle; only rows
+    that hit it, those concerned and a few by chance, are joined with the ids.  Rows without an id stay."""
+    told = saved(found.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).filter("not kept or rows > 1"))
     schema = docs.schema
-    held, bits = id_bitmap(ids)
+    held, bits = id_bitmap(told.select("doc_id"), most)
+    name, known = free_name(docs, "place"), free_name(docs, "known_id")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
-    name, gone_id = free_name(docs, "place"), free_name(docs, "gone_id")
 
     def pick(hit: bool):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 p = np.asarray(b[name].fill_null(0))
-                found = ((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1) > 0
+                found = (((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1) > 0) & np.asarray(b["doc_id"].is_valid())
                 yield b.drop_columns([name]).filter(pa.array(found == hit))
 
         return run
 
     placed = docs.withColumn(name, place)
     maybe = map_arrow(placed, pick(True), schema)
-    return map_arrow(placed, pick(False), schema).unionByName(maybe.join(ids.withColumnRenamed("doc_id", gone_id), F.col("doc_id") == F.col(gone_id), "left_anti"))
+    gone = told.filter("not kept").select(F.col("doc_id").alias(known))
+    left = maybe.join(gone, F.col("doc_id").cast("long") == F.col(known), "left_anti")
+    twice = told.filter("kept").select(F.col("doc_id").alias(known))
+    if not twice.isEmpty():
+        rank = free_name(docs, "rank_")
+        match = F.col("doc_id").cast("long") == F.col(known)
+        among = left.join(twice, match).withColumn(rank, F.row_number().over(Window.partitionBy(known).orderBy("text")))
+        left = left.join(twice, match, "left_anti").unionByName(among.filter(F.col(rank) == 1).select(*docs.columns))
+    return map_arrow(placed, pick(False), schema).unionByName(left)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each document's ids, with the end id, are cut into full sequences and one rest.  Rests are dealt into
 random groups by a hash of the id; a group holds some thousand rests however many documents there
-are, so groups pack independently and in parallel.  Within a group rests go from long to short, each
+are, so groups pack independently and in parallel; full sequences need no group and no shuffle.  Within a group rests go from long to short, each
 into the first bin that has room; the tournament tree finds that bin in log(bins) steps.  Only ids,
 lengths and checksums are shuffled, never tokens.
 
@@ -12,7 +12,6 @@ text yields many full sequences and one rest.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.bpe import Remembered, chunks, read_ranks
+from provena.llm.bpe import Remembered, chunks, no_cycles, read_ranks
 from provena.llm.common import id_text, map_arrow, saved, table
 
 SEQUENCE = 2048
@@ -115,16 +114,16 @@ def cut_documents(df: DataFrame, json_path: str, ranks_path: str, pattern: str,
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         ids_of = _id_bytes(json_path, ranks_path, pattern)
         for b in it:
             rows: list[tuple] = []
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                data = ids_of(text) + end
-                n = len(data) // 4
-                for at in range(0, n, size):
-                    part = data[4 * at : 4 * (at + size)]
-                    rows.append((doc, at, len(part) // 4, zlib.crc32(part), n) + ((np.frombuffer(part, "<u4").astype(np.int32),) if keep_ids else ()))
+            with no_cycles():
+                for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                    data = ids_of(text) + end
+                    n = len(data) // 4
+                    for at in range(0, n, size):
+                        part = data[4 * at : 4 * (at + size)]
+                        rows.append((doc, at, len(part) // 4, zlib.crc32(part), n) + ((np.frombuffer(part, "<u4").astype(np.int32),) if keep_ids else ()))
             cols = list(zip(*rows, strict=True))
             out = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[5:]]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
@@ -135,25 +134,24 @@ def cut_documents(df: DataFrame, json_path: str, ranks_path: str, pattern: str,
 def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, group: int = GROUP, seed: int = 7) -> DataFrame:
     """pieces (doc_id, start, length, ...) with sequence_id and offset added.
 
-    Full pieces are sequences of their own, numbered with the group that their document is in."""
+    Full pieces are sequences of their own, numbered where they are: odd numbers, by partition and place
+    in it.  Rests go to their group; sequences there have even numbers, by group and bin."""
     n = pieces.filter(F.col("length") < size).count()
     groups = max(1, -(-n // group))
-    extra = [c for c in pieces.columns if c not in ("doc_id", "start", "length")]
+    ties = [c for c in ("ids_crc32", "doc_tokens") if c in pieces.columns]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", *[c for c in extra if c in ("ids_crc32", "doc_tokens")]], kind="stable").reset_index(drop=True)
-        full = (pdf["length"] >= size).to_numpy()
-        bins, places = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        bins[full] = np.arange(full.sum())
-        b, p = first_fit_decreasing(pdf["length"].to_numpy()[~full], size)
-        bins[~full], places[~full] = b + full.sum(), p
+        pdf = pdf.sort_values(["doc_id", "start", *ties], kind="stable").reset_index(drop=True)
+        bins, places = first_fit_decreasing(pdf["length"].to_numpy(), size)
         number = pdf.pop("pack_group").to_numpy()
-        return pdf.assign(sequence_id=bins * groups + number, offset=places)
+        return pdf.assign(sequence_id=2 * (bins * groups + number), offset=places)
 
-    # hash_group is uniform, so no group outgrows the mean by more than chance; full pieces follow their start
-    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.col("start"), F.lit(seed)), F.lit(groups)))
-    return grouped.groupBy("pack_group").applyInPandas(pack, f"{schema}, sequence_id long, offset long")
+    # hash_group is uniform, so no group outgrows the mean by more than chance
+    rests = pieces.filter(F.col("length") < size).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    packed = rests.groupBy("pack_group").applyInPandas(pack, f"{schema}, sequence_id long, offset long")
+    full = pieces.filter(F.col("length") >= size)
+    return full.withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long")).unionByName(packed)
 
 
 def pack_documents(df: DataFrame, json_path: str, ranks_path: str, pattern: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

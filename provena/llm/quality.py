@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import batches, doc_of, id_text, map_arrow, mix, table, text_buffer, window_hashes, window_mask, word_hashes
+from provena.llm.common import batches, doc_of, id_text, map_arrow, mix, span_hashes, table, text_buffer, window_hashes, window_mask, word_hashes
 
 SAMPLE = 400
 #: Bytes of text whose lines are described at once; a dozen arrays of eight bytes a byte stand beside it.
@@ -93,8 +93,7 @@ def line_table(texts: pa.Array) -> dict[str, np.ndarray]:
     k = np.searchsorted(breaks, starts[first])
     lo = np.maximum(np.r_[-1, breaks][k] + 1, off[doc])
     hi = np.minimum(np.r_[breaks, len(buf)][k], off[doc + 1])
-    arr = np.asarray(_line_hash(buf, lo, hi))
-    key = mix(arr + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = mix(span_hashes(buf, lo, hi) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, at = np.unique(key, return_index=True)
     again = np.ones(len(key), bool)
     again[at] = False
@@ -127,15 +126,6 @@ def line_table(texts: pa.Array) -> dict[str, np.ndarray]:
     return out | {"doc": doc, "words": words, "features": f}
 
 
-def _line_hash(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    from provena.llm.common import _BASE, _BASE_INV, _PLAIN, powers
-
-    total = np.zeros(len(buf) + 1, np.uint64)
-    if len(buf):
-        np.cumsum(_PLAIN[buf] * powers(_BASE, len(buf)), out=total[1:])
-    return mix((total[hi] - total[lo]) * powers(_BASE_INV, len(buf) + 1)[lo] + (hi - lo).astype(np.uint64))
-
-
 def viterbi(score: np.ndarray, doc: np.ndarray, stay: float) -> np.ndarray:
     """Best marks (1: content) of each chain; score: of content minus boilerplate for each line.
 

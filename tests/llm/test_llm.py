@@ -607,9 +607,64 @@ def test_near_duplicates(spark, n, percent):
 
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
-    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (None, "x")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (None, "x"), (3, "p q r s t u v"), (3, "a b c d e f"), (4, "p q r s t u v"), (None, "a b c d e f")], "doc_id long, text string")
     got = minhash.near_duplicates(df).collect()
-    assert len(got) == 4 and [r.component_id for r in got if r.doc_id == 1] == [1, 1]
+    # both texts of document 3 link it: with 1, and with 4
+    assert len(got) == 8 and {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 1, None: None}
+    assert not any(r.kept for r in got if r.doc_id is None)
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(1, "b b"), (1, "a a"), (2, "gone"), (3, "c"), (None, "x"), (None, "x"), (4, None), (4, None)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, known_id string")
+    found = spark.createDataFrame([(1, True), (1, True), (2, False), (3, True), (None, False), (None, False), (4, True), (4, True)], "doc_id long, kept boolean")
+    for most in (minhash.MOST_BITS, 1 << 15):
+        got = minhash.one_of_each(df, found, most)
+        assert got.columns == df.columns
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "a a", "k"), (3, "c", "k"), (None, "x", "k"), (None, "x", "k"), (4, None, "k")], key=str)
+
+
+def family(n, changes, seed, size=150):
+    """n variants of one text, each with some words changed; the text itself comes late."""
+    rng = np.random.default_rng(seed)
+    base = [f"v{k}" for k in range(size)]
+    out = []
+    for m in range(n):
+        w = list(base)
+        if m != n - n // 3:
+            for k in rng.choice(size, changes, replace=False):
+                w[k] = f"z{rng.integers(0, 1 << 30)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("cells", [(minhash.CELL_ROWS, minhash.CELL_ITEMS), (16, 2000)])
+def test_a_family_whose_members_only_its_base_links(spark, cells):
+    """Variants are apart from each other and near to the base, so stars on the least member find nothing."""
+    rows = family(300, 5, 1) + family(60, 30, 2) + ["other text of its own " + " ".join(f"u{k}" for k in range(40))]
+    sets = {i: shingles(t, 3) for i, t in enumerate(rows)}
+    lead = reach(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), 3, 85, cell_rows=cells[0], cell_items=cells[1]).collect()}
+    assert got == lead and len(set(lead.values())) > 30
+
+
+def test_a_large_family_of_near_copies(spark):
+    rows = family(5000, 3, 3, size=100)
+    x = [shingles(t, 3) for t in rows]
+    ids = np.repeat(np.arange(len(x)), [len(s) for s in x])
+    code: dict = {}
+    items = np.array([code.setdefault(g, len(code)) for s in x for g in s])
+    # every pair, by a matrix of common shingles; variants of a family share only those of its base
+    some = np.isin(items, np.flatnonzero(np.bincount(items) > 1))
+    names, col = np.unique(items[some], return_inverse=True)
+    m = np.zeros((len(rows), len(names)), np.float32)
+    m[ids[some], col] = 1
+    size = np.array([len(s) for s in x])
+    common_ = np.rint(m @ m.T)
+    a, b = np.nonzero(np.triu(100 * common_ >= 85 * (size[:, None] + size[None] - common_), 1))
+    lead = reach(range(len(rows)), zip(a.tolist(), b.tolist(), strict=True))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows, False), 3, 85).collect()}
+    assert got == lead
 
 
 def test_estimate_is_close():
