@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from provena.llm import common, minhash, packing, quality, secrets, substring
 
@@ -26,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of smallest id, unchanged."""
     found = minhash.near_duplicates(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    return minhash.without(docs, found.filter(~F.col("kept")).select("doc_id"))
+    return minhash.one_of_each(docs, found)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
