@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provena.llm.common import id_text, map_arrow, table
 
-#: Chunks of at most 64 characters that a worker remembers, in two generations; some 400 bytes each, 50 MB in all.
-CACHE = 1 << 16
+#: Chunks of at most 64 characters that a worker remembers in each of two generations; some 250 bytes each, 100 MB in all.
+CACHE = 200_000
 #: Token pairs that a worker remembers, some 150 bytes each.
 PAIRS = 200_000
 _UNEVEN = re.compile(r"\s | \s|^ | $").search

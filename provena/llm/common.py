@@ -22,6 +22,8 @@ BATCH_ROWS = 1024
 BATCH_BYTES = 2 << 20
 #: Bytes, or words, that are hashed at once; longer runs go through in tiles, so scratch memory is fixed.
 TILE = 1 << 16
+#: Bits of the broadcast bitmap of ids, 8 MB; a fuller one lets more rows through to the join behind it.
+MOST_BITS = 1 << 26
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -227,10 +229,34 @@ def shared_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(told)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in at most four partitions a core, so that a write does not make thousands of small files."""
+    return df.coalesce(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once and kept as files in the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return few_files(df).checkpoint(eager=True)
+
+
+def id_bitmap(wanted: DataFrame, most: int = MOST_BITS):
+    """(broadcast bitmap of hashed ids, its number of bits): 16 bits an id, ``most`` in all."""
+    count = wanted.count()
+    bits = 1 << max(15, min(most.bit_length() - 1, (16 * count).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    # Spark numbers bits from 1, in buckets of 32768 that are numbered from 1 too
+    rows = wanted.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    flat = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        flat[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return wanted.sparkSession.sparkContext.broadcast(flat), bits
+
+
+def in_bitmap(flat: np.ndarray, place: pa.Array) -> np.ndarray:
+    """Which places are set; a null place counts as 0."""
+    p = np.asarray(place.fill_null(0))
+    return (flat[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
 
 
 def shuffles(spark: SparkSession) -> int:

@@ -35,14 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import free_name, id_text, map_arrow, mix, saved, table, window_hashes, window_mask, word_hashes
+from provena.llm.common import MOST_BITS, free_name, id_bitmap, id_text, in_bitmap, map_arrow, mix, saved, table, window_hashes, window_mask, word_hashes
 from provena.llm.graph import Sets, components
 
 HASHES, BANDS, ROWS, SLACK = 128, 25, 5, 0.2
 #: Representatives on each side of a cell while only signatures are compared, and shingles while sets are.
 CELL_ROWS, CELL_ITEMS = 8192, 1 << 20
-#: Bits of the broadcast bitmap of wanted ids, 8 MB; a fuller one lets more texts through to the joins.
-MOST_BITS = 1 << 26
 _RNG = np.random.default_rng(20240601)
 _A = (_RNG.integers(1, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -148,19 +146,6 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return (small * 100 >= large * percent) & (agreement(x, y) >= percent / 100 - SLACK)
 
 
-def id_bitmap(wanted: DataFrame, most: int = MOST_BITS):
-    """(broadcast bitmap of hashed ids, its number of bits): 16 bits an id, ``most`` in all."""
-    count = wanted.count()
-    bits = 1 << min(most.bit_length() - 1, max(15, (16 * count).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    # Spark numbers bits from 1, in buckets of 32768 that are numbered from 1 too
-    rows = wanted.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
-    flat = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        flat[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return wanted.sparkSession.sparkContext.broadcast(flat), bits
-
-
 def sets_of(df: DataFrame, wanted: DataFrame, words: int, most: int = MOST_BITS) -> DataFrame:
     """rep, digest and items (sorted shingles) of the wanted ids, one row for each different set.
 
@@ -171,8 +156,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, words: int, most: int = MOST_BITS)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            p = np.asarray(b["p"])
-            take = np.flatnonzero((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+            take = np.flatnonzero(in_bitmap(held.value, b["p"]))
             if not len(take):
                 continue
             b = b.take(pa.array(take))
@@ -391,8 +375,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, most: int = MOST_BITS) -> Dat
     def pick(hit: bool):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                p = np.asarray(b[name].fill_null(0))
-                found = (((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1) > 0) & np.asarray(b["doc_id"].is_valid())
+                found = in_bitmap(held.value, b[name]) & np.asarray(b["doc_id"].is_valid())
                 yield b.drop_columns([name]).filter(pa.array(found == hit))
 
         return run

@@ -3,28 +3,39 @@
 A window is ``WINDOW`` consecutive words of one document.  A word goes if a window that covers it also
 starts earlier: in a document of smaller id, or before it in the same document.
 
-Documents arrive in batches of rising ids.  The index is a list of immutable runs, each a table of
-sorted fingerprints by bucket.  A fingerprint is the hash of ``GRAM`` words that is the least among
-those inside some window, so equal windows have equal fingerprints and about one word in seven has one.
-A new batch does this:
+Documents arrive in batches of rising ids.  The index is a folder of immutable runs, one or more a level:
 
-1. its fingerprints, sorted by bucket, are merge-joined with each run: a fingerprint is *shared* if a
-   run has it or the batch has it twice.  The batch's fingerprints become a new run;
-2. only windows whose fingerprint is shared are verified: the 128-bit hashes of whole windows of the
-   batch, and of history where it shares a fingerprint, meet by hash and the earliest one of each stays;
-3. runs of one level are compacted into a run of the next when there are ``FANOUT`` of them.
+* ``keys``: sorted fingerprints by bucket.  A fingerprint is the hash of ``GRAM`` words that is the least
+  among those inside some window, so equal windows have equal fingerprints and about one word in seven
+  has one;
+* ``windows``: sorted segments, each of one task, of all window hashes under their fingerprints.
+
+A new batch does this, and never reads the text of earlier ones:
+
+1. its fingerprints, sorted by bucket, are merge-joined with the keys of each run: a fingerprint is
+   *shared* if a run has it or the batch has it twice;
+2. only windows on shared fingerprints are verified: those of the batch, hashed again, and those of the
+   runs, read from their segments, meet by fingerprint and hash of the whole window, 112 bits in all
+   of which 96 are compared, and the earliest one of each stays;
+3. the batch becomes a run.  When a level has ``FANOUT`` runs, their keys are merged into one run of the
+   next level, which also takes over their segments.
 
 Shared fingerprints are sent to workers as a bitmap of bounded size that has no false negatives; a
 filled bitmap lets more windows be verified and changes no result.  Tasks first settle repeats among
-their own windows, so a passage that a third of all documents hold adds one row a task.
+their own windows, so a passage that a third of all documents hold adds one row a task.  Texts that lose
+nothing are never shuffled.
 
-Nulls and empty texts have no words.  Documents under ``WINDOW`` words lose none.  Rows that repeat a
-doc_id count as one document after another: equal windows of theirs at equal places are kept.
+Nulls and empty texts have no words.  Documents under ``WINDOW`` words lose none.  Rows of one doc_id and
+one text are one document; further texts of that id are documents of their own, in an order that a hash
+of the text gives.  Rows without a doc_id are in no batch: they lose nothing and nothing is removed for their sake.  Very long texts
+are hashed in tiles and are never cut.  Other columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -33,15 +44,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import free_name, id_text, map_arrow, mix, saved, shuffles, small_batches, table, window_hashes, window_mask, word_hashes
+from provena.llm.common import MOST_BITS, few_files, free_name, id_bitmap, id_text, in_bitmap, map_arrow, mix, saved, shared_dir, span_hashes, table, text_buffer, window_hashes, window_mask, word_hashes
 
-WINDOW, GRAM, FANOUT = 20, 8, 4
+WINDOW, GRAM, FANOUT = 20, 8, 2
 #: Entries that a task holds before it hands them on.
-FLUSH = 1 << 20
-#: Batches that the query cuts a table into.
-BATCHES = 2
+FLUSH = 1 << 19
+#: Batches that the query cuts a table into: enough that the third meets a compacted run.
+BATCHES = 3
+#: Bits of the broadcast bitmap of shared fingerprints, 32 MB.
 MAX_BITMAP = 1 << 28
-_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes of text for each bucket of the index, and for each block of texts that lose words, as powers of 2.
+BUCKET_BYTES, BLOCK_BYTES = 24, 22
+_LOW48 = np.uint64((1 << 48) - 1)
+
+
+def packed(x: np.ndarray, width: int | None = None, rising: bool = False) -> bytes:
+    """x byte plane by byte plane, so that planes of zeros compress; only the low ``width`` bytes; rising: as steps."""
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T[:width]).tobytes()
+
+
+def unpacked(blob: bytes, of: type, width: int | None = None, rising: bool = False) -> np.ndarray:
+    size = np.dtype(of).itemsize
+    planes = np.frombuffer(blob, np.uint8).reshape(width or size, -1)
+    x = np.zeros((planes.shape[1], size), np.uint8)
+    x[:, : width or size] = planes.T
+    x = x.view(of).ravel()
+    return np.cumsum(x, dtype=of) if rising else x
 
 
 def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -91,13 +121,13 @@ def _count_sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
-    """bucket, level, keys (sorted distinct), twice: what each task has gathered."""
+    """bucket, keys (sorted distinct), twice: what each task has gathered."""
 
     def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, twice = _count_sorted(np.sort(np.concatenate(held)))
         cut = _buckets(keys, buckets)
         if cut:
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, *_ in cut], pa.int32()), pa.array([keys[i:j].tobytes() for _, i, j in cut], pa.binary()), pa.array([np.packbits(twice[i:j]).tobytes() for _, i, j in cut], pa.binary())], ["bucket", "keys", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, *_ in cut], pa.int32()), pa.array([packed(keys[i:j], rising=True) for _, i, j in cut], pa.binary()), pa.array([np.packbits(twice[i:j]).tobytes() for _, i, j in cut], pa.binary())], ["bucket", "keys", "twice"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -117,87 +147,48 @@ def fingerprints(docs: DataFrame, buckets: int, window: int, gram: int) -> DataF
     return map_arrow(docs, run, "bucket int, keys binary, twice binary")
 
 
-def _u64(blobs: list) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint64)
-
-
-class FingerprintIndex:
-    """Sorted immutable runs; each a DataFrame (bucket, keys) kept in the shared folder."""
-
-    def __init__(self, spark: SparkSession, buckets: int, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.buckets, self.window, self.gram = spark, buckets, window, gram
-        self.levels: list[list[DataFrame]] = [[]]
-
-    def merge(self, docs: DataFrame) -> DataFrame:
-        """bucket and the sorted shared fingerprints of a new batch, which also becomes a run."""
-        new = fingerprints(docs, self.buckets, self.window, self.gram).withColumn("run", F.lit(-1))
-        rows = new
-        for k, run in enumerate(r for level in self.levels for r in level):
-            rows = rows.unionByName(run.withColumn("run", F.lit(k)).withColumn("twice", F.lit(None).cast("binary")))
-
-        def join(t: pa.Table) -> pa.Table:
-            runs = np.asarray(t["run"])
-            keys, twice = t["keys"].to_pylist(), t["twice"].to_pylist()
-            mine = [i for i in range(len(keys)) if runs[i] < 0]
-            k = [np.frombuffer(keys[i], np.uint64) for i in mine]
-            more = [np.unpackbits(np.frombuffer(twice[i], np.uint8), count=len(x)).astype(bool) for i, x in zip(mine, k, strict=True)]
-            k, more = np.concatenate([*k, np.zeros(0, np.uint64)]), np.concatenate([*more, np.zeros(0, bool)])
-            order = np.argsort(k, kind="stable")
-            run, again = _count_sorted(k[order])
-            again[np.searchsorted(run, k[more])] = True
-            for r in np.unique(runs[runs >= 0]):  # each run is sorted: a merge join by binary search
-                old = _u64([keys[i] for i in np.flatnonzero(runs == r)])
-                at = np.searchsorted(old, run)
-                at[at == len(old)] = 0
-                again |= old[at] == run if len(old) else False
-            return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "keys": pa.array([run.tobytes()], pa.binary()), "shared": pa.array([run[again].tobytes()], pa.binary())})
-
-        got = saved(rows.groupBy("bucket").applyInArrow(join, "bucket int, keys binary, shared binary"))
-        self.add(got.select("bucket", "keys"))
-        return got.select("bucket", "shared")
+def _windows(texts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint of each window that lies in one text, its hash of 48 bits, its first word, word offsets of the texts)."""
+    h, woff, *_ = word_hashes(texts)
+    if len(h) < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), woff
+    _, m, ok = window_minima(h, woff, window, gram)
+    at = np.flatnonzero(ok)
+    return mix(m[at]), window_hashes(h, window, salt=2)[at] & _LOW48, at, woff
 
-    def add(self, run: DataFrame, level: int = 0) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= FANOUT:
-            full, self.levels[level] = self.levels[level], []
-            self.add(self.compacted(full), level + 1)
-
-    def save(self, path: str) -> None:
-        """Writes all runs, with their levels, and how they were made."""
-        runs = [r.select(F.lit(k).alias("level"), F.lit(i).alias("run"), "bucket", "keys") for k, level in enumerate(self.levels) for i, r in enumerate(level)]
-        rows = self.spark.createDataFrame([], "level int, run int, bucket int, keys binary")
-        for r in runs:
-            rows = rows.unionByName(r)
-        rows.write.parquet(f"{path}/runs")
-        about = [(self.buckets, self.window, self.gram, [len(level) for level in self.levels])]
-        self.spark.createDataFrame(about, "buckets int, window int, gram int, runs array<int>").write.parquet(f"{path}/about")
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> FingerprintIndex:
-        about = spark.read.parquet(f"{path}/about").first()
-        index, rows = cls(spark, about.buckets, about.window, about.gram), spark.read.parquet(f"{path}/runs")
-        index.levels = [[rows.filter((F.col("level") == k) & (F.col("run") == i)).select("bucket", "keys") for i in range(n)] for k, n in enumerate(about.runs)]
-        return index
+def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """All windows of each task: keys (sorted fingerprints), counts of windows of each, and their hashes."""
 
-    @staticmethod
-    def compacted(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
+    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        f, h = (np.concatenate([x[k] for x in held]) for k in range(2))
+        order = np.lexsort((h, f))
+        f, h = f[order], h[order]
+        new = np.r_[True, (f[1:] != f[:-1]) | (h[1:] != h[:-1])]
+        f, h = f[new], h[new]
+        at = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+        counts = np.diff(np.r_[at, len(f)]).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([packed(f[at], rising=True)], pa.binary()), pa.array([packed(counts)], pa.binary()), pa.array([packed(h, 6)], pa.binary())], ["keys", "counts", "hashes"])
 
-        def one(t: pa.Table) -> pa.Table:
-            keys = np.unique(_u64(t["keys"].to_pylist()))
-            return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary())})
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in it:
+            f, h, *_ = _windows(b["text"], window, gram)
+            held.append((f, h))
+            n += len(f)
+            if n >= FLUSH:
+                yield from out(held)
+                held, n = [], 0
+        if n:
+            yield from out(held)
 
-        return saved(rows.groupBy("bucket").applyInArrow(one, "bucket int, keys binary"))
+    return map_arrow(docs, run, "keys binary, counts binary, hashes binary")
 
 
-def shared_bitmap(shared: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
-    """One bit for each slice of the fingerprint space that has a shared one; at most MAX_BITMAP bits."""
+def shared_bitmap(shared: DataFrame, buckets: int, most: int = MAX_BITMAP) -> tuple[np.ndarray, int]:
+    """One bit for each slice of the fingerprint space that has a shared one; ``most`` bits, or 8 a bucket."""
     n = shared.select(F.coalesce(F.sum(F.length("shared")), F.lit(0)) / 8).first()[0]
-    bits = 1 << max(16, min(MAX_BITMAP.bit_length() - 1, int(16 * n).bit_length()))
+    bits = 1 << max(16, min(most.bit_length() - 1, int(16 * n).bit_length()))
     bits = max(bits, 8 * buckets)
     shift, each = np.uint64(64 - (bits.bit_length() - 1)), bits // buckets
 
@@ -205,7 +196,7 @@ def shared_bitmap(shared: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
         for b in it:
             for k, blob in zip(b["bucket"].to_pylist(), b["shared"].to_pylist(), strict=True):
                 flat = np.zeros(each, bool)
-                flat[(np.frombuffer(blob, np.uint64) >> shift).astype(np.int64) - k * each] = True
+                flat[(unpacked(blob, np.uint64, rising=True) >> shift).astype(np.int64) - k * each] = True
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(flat).tobytes()], pa.binary())], ["bucket", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
@@ -214,50 +205,63 @@ def shared_bitmap(shared: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
     return out, int(shift)
 
 
-_CAND = "bucket int, kind int, h binary, c binary, doc binary, pos binary"
+_CAND = "bucket int, kind int, k binary, c binary, doc binary, pos binary"
+_BATCH, _HISTORY, _REMOVED = range(3)
 
 
-def candidate_windows(docs: DataFrame, bitmap, shift: int, buckets: int, window: int, gram: int, history: bool) -> DataFrame:
-    """Windows on shared fingerprints, the first of each in its task; and those that repeat one there.
+def _joint(f: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of fingerprint and window hash together, and 32 of the window hash."""
+    return mix(f + h * np.uint64(0xC2B2AE3D27D4EB4F)), h.astype(np.uint32)
 
-    kind 0: from the batch; 1: from history, never removed; 2: removed, keyed by document."""
 
-    def rows(h, c, doc, pos, kind: int, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = _buckets(key, buckets)
-        if cut:
-            parts = [[x[i:j].tobytes() for _, i, j in cut] for x in (h, c, doc, pos)]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, *_ in cut], pa.int32()), pa.array([kind] * len(cut), pa.int32()), *[pa.array(p, pa.binary()) for p in parts]], [x.split()[0] for x in _CAND.split(", ")])
+def _shared(bits: np.ndarray, f: np.ndarray, shift: int) -> np.ndarray:
+    p = (f >> np.uint64(shift)).astype(np.int64)
+    return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _cand_rows(kind: int, buckets: int, key: np.ndarray, k=None, c=None, doc=None, pos=None) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket of the sorted key; arrays that are not given are empty."""
+    cut = _buckets(key, buckets)
+    if cut:
+        part = lambda x, rising=False: pa.array([packed(x[i:j], rising=rising) if x is not None else b"" for _, i, j in cut], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, *_ in cut], pa.int32()), pa.array([kind] * len(cut), pa.int32()), part(k, True), part(c), part(doc), part(pos)], [x.split()[0] for x in _CAND.split(", ")])
+
+
+def text_tags(texts: pa.Array, tagged: bool) -> np.ndarray:
+    """What tells apart texts of one id, above the 32 bits of a place; 0 if no id repeats."""
+    if not tagged:
+        return np.zeros(len(texts), np.int64)
+    buf, off = text_buffer(texts)
+    return (span_hashes(buf, off[:-1], off[1:]) >> np.uint64(33)).astype(np.int64) << 32
+
+
+def candidate_windows(docs: DataFrame, bitmap, shift: int, buckets: int, window: int, gram: int, tagged: bool) -> DataFrame:
+    """Windows of the batch on shared fingerprints, the first of each in its task; and those that repeat one there."""
 
     def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, c, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
-        order = np.lexsort((pos, doc, c, h))
-        h, c, doc, pos = h[order], c[order], doc[order], pos[order]
-        first = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-        yield from rows(h[first], c[first], doc[first], pos[first], int(history), h[first])
-        if not history:
-            again = ~first
-            if len(held) and again.any():
-                # a repeat at the very place of the first one (rows that repeat an id) is no repeat
-                lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-                again &= (doc != doc[lead]) | (pos != pos[lead])
-            key = mix(doc[again].view(np.uint64))
-            o = np.argsort(key, kind="stable")
-            none = np.zeros(0, np.uint64)
-            yield from rows(none, none, doc[again][o], pos[again][o], 2, key[o])
+        k, c, doc, pos = (np.concatenate([x[i] for x in held]) for i in range(4))
+        order = np.lexsort((pos, doc))
+        order = order[np.argsort(k[order], kind="stable")]
+        k, c, doc, pos = k[order], c[order], doc[order], pos[order]
+        first = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+        yield from _cand_rows(_BATCH, buckets, k[first], k[first], c[first], doc[first], pos[first])
+        # a repeat at the very place of the first one (rows that repeat an id) is no repeat
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        again = ~first & ((doc != doc[lead]) | (pos != pos[lead]))
+        key = mix(doc[again].view(np.uint64))
+        o = np.argsort(key, kind="stable")
+        yield from _cand_rows(_REMOVED, buckets, key[o], doc=doc[again][o], pos=pos[again][o])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, n = bitmap.value, [], 0
         for b in it:
-            h, woff, *_ = word_hashes(b["text"])
-            if len(h) < window:
-                continue
-            _, m, ok = window_minima(h, woff, window, gram)
-            p = (mix(m) >> np.uint64(shift)).astype(np.int64)
-            hit = np.flatnonzero(ok & (((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1) > 0))
+            f, h, at, woff = _windows(b["text"], window, gram)
+            hit = np.flatnonzero(_shared(bits, f, shift))
             if not len(hit):
                 continue
-            owner = np.searchsorted(woff, hit, side="right") - 1
-            held.append((window_hashes(h, window, salt=2)[hit], window_hashes(h, window, salt=3)[hit], np.asarray(b["doc_id"])[owner], (hit - woff[owner]).astype(np.int32)))
+            at = at[hit]
+            owner = np.searchsorted(woff, at, side="right") - 1
+            held.append((*_joint(f[hit], h[hit]), np.asarray(b["doc_id"])[owner], at - woff[owner] + text_tags(b["text"], tagged)[owner]))
             n += len(hit)
             if n >= FLUSH:
                 yield from out(held)
@@ -268,36 +272,186 @@ def candidate_windows(docs: DataFrame, bitmap, shift: int, buckets: int, window:
     return map_arrow(docs, run, _CAND)
 
 
-def _by_block(doc: np.ndarray, pos: np.ndarray, blocks: int) -> pa.Table:
-    block = (mix(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-    order = np.lexsort((pos, doc, block))
-    block, doc, pos = block[order], doc[order], pos[order]
-    cuts = np.searchsorted(block, np.arange(blocks + 1))
-    have = [b for b in range(blocks) if cuts[b + 1] > cuts[b]]
-    return pa.table({"block": pa.array(have, pa.int64()), "docs": pa.array([doc[cuts[b] : cuts[b + 1]].tobytes() for b in have], pa.binary()), "pos": pa.array([pos[cuts[b] : cuts[b + 1]].tobytes() for b in have], pa.binary())})
+def stored_windows(rows: DataFrame, bitmap, shift: int, buckets: int) -> DataFrame:
+    """Windows of stored segments on shared fingerprints; no text is read."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for b in it:
+            for keys, counts, hashes in zip(*(b[c].to_pylist() for c in ("keys", "counts", "hashes")), strict=True):
+                f, n = unpacked(keys, np.uint64, rising=True), unpacked(counts, np.uint32)
+                hit = _shared(bits, f, shift)
+                if not hit.any():
+                    continue
+                k, c = _joint(np.repeat(f[hit], n[hit]), unpacked(hashes, np.uint64, 6)[np.repeat(hit, n)])
+                order = np.argsort(k)
+                yield from _cand_rows(_HISTORY, buckets, k[order], k[order], c[order])
+
+    return map_arrow(rows, run, _CAND)
+
+
+def block_of(doc, blocks: int):
+    """The block of a doc_id, alike for columns and for arrays."""
+    if isinstance(doc, np.ndarray):
+        return (doc ^ (doc.view(np.uint64) >> np.uint64(20)).view(np.int64)) % blocks
+    return F.pmod(doc.bitwiseXOR(F.shiftrightunsigned(doc, 20)), F.lit(blocks))
 
 
 def removed_windows(cands: DataFrame, blocks: int) -> DataFrame:
     """block, docs, pos: the windows of the batch that start earlier elsewhere."""
 
     def settle(t: pa.Table) -> pa.Table:
-        kind = np.asarray(t["kind"])
-        take = lambda name, which, of: np.frombuffer(b"".join(x for x, w in zip(t[name].to_pylist(), which, strict=True) if w), of)
-        live = kind < 2
-        h, c, doc, pos = take("h", live, np.uint64), take("c", live, np.uint64), take("doc", live, np.int64), take("pos", live, np.int32)
-        old = np.repeat(kind[live] == 1, [len(x) // 8 for x, w in zip(t["h"].to_pylist(), live, strict=True) if w])
-        order = np.lexsort((pos, doc, ~old, c, h))
-        h, c, doc, pos, old = h[order], c[order], doc[order], pos[order], old[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, np.int64)
-        gone = ~first & ~old & (old[lead] | (doc != doc[lead]) | (pos != pos[lead]))
-        doc, pos = np.r_[doc[gone], take("doc", ~live, np.int64)], np.r_[pos[gone], take("pos", ~live, np.int32)]
-        return _by_block(doc, pos, blocks)
+        kinds = t["kind"].to_pylist()
+
+        def take(name: str, of: type, *which: int) -> np.ndarray:
+            got = [unpacked(x, of, rising=name == "k") for w in which for x, kind in zip(t[name].to_pylist(), kinds, strict=True) if kind == w]
+            return np.concatenate([*got, np.zeros(0, of)])
+
+        k, c = take("k", np.uint64, _HISTORY, _BATCH), take("c", np.uint32, _HISTORY, _BATCH)
+        doc, pos = take("doc", np.int64, _BATCH), take("pos", np.int64, _BATCH)
+        old = len(k) - len(doc)  # history comes first, then the batch by place
+        by_place = np.lexsort((pos, doc))
+        order = np.r_[np.arange(old), old + by_place]
+        order = order[np.argsort(k[order], kind="stable")]
+        k, c = k[order], c[order]
+        doc, pos = np.r_[np.zeros(old, np.int64), doc][order], np.r_[np.full(old, -1, np.int64), pos][order]
+        first = np.ones(len(k), bool)
+        first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(k) else np.zeros(0, np.int64)
+        gone = ~first & (order >= old) & ((doc != doc[lead]) | (pos != pos[lead]))
+        doc, pos = np.r_[doc[gone], take("doc", np.int64, _REMOVED)], np.r_[pos[gone], take("pos", np.int64, _REMOVED)]
+        block = block_of(doc, blocks)
+        order = np.lexsort((pos, doc, block))
+        block, doc, pos = block[order], doc[order], pos[order]
+        have, at = np.unique(block, return_index=True)
+        cut = list(zip(at.tolist(), [*at[1:].tolist(), len(block)], strict=True))
+        blobs = lambda x: pa.array([zlib.compress(packed(x[i:j]), 1) for i, j in cut], pa.binary())
+        return pa.table({"block": pa.array(have, pa.int64()), "docs": blobs(doc), "pos": blobs(pos)})
 
     return cands.groupBy("bucket").applyInArrow(settle, "block long, docs binary, pos binary")
 
 
+class SubstringIndex:
+    """Runs in a folder that driver and executors share; create or open it, then append batches.
+
+    A manifest names the runs of each level; it is written after the files of a run, and the files that a
+    compaction replaces go after that, so a lost append leaves the index as it was."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.version, self.buckets, self.window, self.gram, self.fanout = -1, 1, WINDOW, GRAM, FANOUT
+        self.levels: list[list[tuple[str, list[str]]]] = []
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, buckets: int, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> SubstringIndex:
+        index = cls(spark, path)
+        index.buckets, index.window, index.gram, index.fanout = _power(buckets), window, gram, fanout
+        index._commit()
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SubstringIndex:
+        index = cls(spark, path)
+        about = spark.read.parquet(f"{index.path}/about")
+        rows = about.filter(F.col("version") == about.agg(F.max("version")).first()[0]).orderBy("level", "place").collect()
+        index.version, index.buckets, index.window, index.gram, index.fanout = (rows[0][c] for c in ("version", "buckets", "window", "gram", "fanout"))
+        for r in rows:
+            if r.level >= 0:
+                index._level(r.level).append((r.keys, list(r.windows)))
+        return index
+
+    def _level(self, k: int) -> list[tuple[str, list[str]]]:
+        while len(self.levels) <= k:
+            self.levels.append([])
+        return self.levels[k]
+
+    def _commit(self) -> None:
+        self.version += 1
+        own = (self.version, self.buckets, self.window, self.gram, self.fanout)
+        rows = [(*own, -1, 0, "", [])] + [(*own, k, i, *run) for k, level in enumerate(self.levels) for i, run in enumerate(level)]
+        self.spark.createDataFrame(rows, "version int, buckets int, window int, gram int, fanout int, level int, place int, keys string, windows array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/about")
+
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{name}" for name in names])
+
+    def _delete(self, name: str = "") -> None:
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    def merged(self, docs: DataFrame, keep: bool) -> DataFrame:
+        """bucket, the batch's sorted fingerprints (if kept), and those that are shared."""
+        rows = fingerprints(docs, self.buckets, self.window, self.gram).withColumn("run", F.lit(-1))
+        for k, (keys, _) in enumerate(r for level in self.levels for r in level):
+            rows = rows.unionByName(self._read([keys]).select("bucket", "keys", F.lit(None).cast("binary").alias("twice"), F.lit(k).alias("run")))
+
+        def join(t: pa.Table) -> pa.Table:
+            runs, keys, twice = np.asarray(t["run"]), t["keys"].to_pylist(), t["twice"].to_pylist()
+            mine = np.flatnonzero(runs < 0).tolist()
+            k = [unpacked(keys[i], np.uint64, rising=True) for i in mine]
+            more = [np.unpackbits(np.frombuffer(twice[i], np.uint8), count=len(x)).astype(bool) for i, x in zip(mine, k, strict=True)]
+            k, more = np.concatenate([*k, np.zeros(0, np.uint64)]), np.concatenate([*more, np.zeros(0, bool)])
+            run, again = _count_sorted(np.sort(k))
+            again[np.searchsorted(run, k[more])] = True
+            for i in np.flatnonzero(runs >= 0).tolist():  # each run is sorted: a merge join by binary search
+                old = unpacked(keys[i], np.uint64, rising=True)
+                at = np.searchsorted(old, run)
+                at[at == len(old)] = 0
+                again |= old[at] == run if len(old) else False
+            return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "keys": pa.array([packed(run, rising=True) if keep else b""], pa.binary()), "shared": pa.array([packed(run[again], rising=True)], pa.binary())})
+
+        return rows.groupBy("bucket").applyInArrow(join, "bucket int, keys binary, shared binary")
+
+    def append(self, docs: DataFrame, blocks: int, keep: bool = True, most_bits: int = MAX_BITMAP, tagged: bool = True) -> DataFrame | None:
+        """block, docs, pos: the windows of docs (doc_id, text) that start earlier, in the index or in docs.
+
+        All documents in the index count as earlier.  docs become a run, unless keep is false.  tagged: whether
+        an id may come more than once; places then have a hash of the text above their 32 low bits."""
+        name, got = f"run-{uuid.uuid4().hex}", self.merged(docs, keep)
+        if keep:
+            few_files(got).write.parquet(f"{self.path}/{name}/keys")
+            got = self._read([f"{name}/keys"])
+        else:
+            got = saved(got)
+        flat, shift = shared_bitmap(got.select("bucket", "shared"), self.buckets, most_bits)
+        gone = None
+        if flat.any():
+            held = self.spark.sparkContext.broadcast(flat)
+            cands = candidate_windows(docs, held, shift, self.buckets, self.window, self.gram, tagged)
+            stored = [x for level in self.levels for _, names in level for x in names]
+            if stored:
+                cands = cands.unionByName(stored_windows(self._read(stored), held, shift, self.buckets))
+            gone = saved(removed_windows(cands, blocks))
+            held.unpersist()
+        if keep:
+            few_files(segments(docs, self.window, self.gram)).write.parquet(f"{self.path}/{name}/windows")
+            self._level(0).append((f"{name}/keys", [f"{name}/windows"]))
+            replaced = self._compact()
+            self._commit()
+            for old in replaced:
+                self._delete(old)
+        return gone
+
+    def _compact(self) -> list[str]:
+        """Merges levels that are full, from the lowest; the key folders that are replaced."""
+        replaced, k = [], 0
+        while k < len(self.levels):
+            full = self.levels[k]
+            if len(full) >= self.fanout:
+                name = f"run-{uuid.uuid4().hex}/keys"
+                few_files(self._read([keys for keys, _ in full]).select("bucket", "keys").groupBy("bucket").applyInArrow(self._one, "bucket int, keys binary")).write.parquet(f"{self.path}/{name}")
+                replaced += [keys for keys, _ in full]
+                self.levels[k] = []
+                self._level(k + 1).append((name, [x for _, names in full for x in names]))
+            k += 1
+        return replaced
+
+    @staticmethod
+    def _one(t: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([unpacked(x, np.uint64, rising=True) for x in t["keys"].to_pylist()]))
+        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "keys": pa.array([packed(keys, rising=True)], pa.binary())})
+
+
 def kept_words(text: bytes, starts: np.ndarray, window: int) -> tuple[int, int, bytes]:
     """Number of words, number removed, the rest joined by one space."""
     words = text.split()
@@ -310,76 +464,90 @@ def kept_words(text: bytes, starts: np.ndarray, window: int) -> tuple[int, int,
     return len(words), int(len(words) - keep.sum()), b" ".join(compress(words, keep.tolist()))
 
 
-def _apply(docs: DataFrame, gone: DataFrame, blocks: int, window: int, make, schema: str) -> DataFrame:
-    """make(texts of a block, window starts to remove of each) -> arrays, without moving more than text."""
-    name = free_name(docs, "block")
-    salted = docs.withColumn(name, _block(blocks))
+def _apply(docs: DataFrame, gone: DataFrame | None, blocks: int, make, schema: str, most: int, tagged: bool) -> DataFrame:
+    """make(texts, window starts to remove of each) -> arrays; only texts that lose words, and a few by chance, are moved."""
+    whole = lambda it: (pa.RecordBatch.from_struct_array(t.to_struct_array().combine_chunks()) for b in it for t in [make(pa.Table.from_batches([b]), [_NONE] * b.num_rows)])
+    if gone is None:
+        return map_arrow(docs, whole, schema)
+
+    def ids(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for blob in b["docs"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpacked(zlib.decompress(blob), np.int64)))], ["doc_id"])
+
+    held, bits = id_bitmap(gone.select("docs").mapInArrow(ids, "doc_id long"), most)
+    place, block = free_name(docs, "place"), free_name(docs, "block")
+    placed = docs.withColumn(place, F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+
+    def pick(hit: bool):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                found = in_bitmap(held.value, b[place]) & np.asarray(b["doc_id"].is_valid())
+                b = b.drop_columns([place]).filter(pa.array(found == hit))
+                if b.num_rows:
+                    yield b
+
+        return run
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc = np.frombuffer(b"".join(right["docs"].to_pylist()), np.int64)
-        pos = np.frombuffer(b"".join(right["pos"].to_pylist()), np.int32).astype(np.int64)
+        read = lambda name, of: np.concatenate([*(unpacked(zlib.decompress(x), of) for x in right[name].to_pylist()), np.zeros(0, of)])
+        doc, pos = read("docs", np.int64), read("pos", np.int64)
         order = np.argsort(doc, kind="stable")
         doc, pos = doc[order], pos[order]
-        ids = np.asarray(left["doc_id"])
-        lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
-        return make(left, [np.unique(pos[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+        mine = np.asarray(left["doc_id"])
+        lo, hi = np.searchsorted(doc, mine), np.searchsorted(doc, mine, side="right")
+        tags = text_tags(left["text"], tagged).tolist()
+        starts = [pos[a:b][pos[a:b] >> 32 == tag >> 32] - tag for a, b, tag in zip(lo.tolist(), hi.tolist(), tags, strict=True)]
+        return make(left, [np.unique(x) for x in starts])
 
-    return salted.groupBy(name).cogroup(gone.groupBy("block")).applyInArrow(both, schema)
+    same = map_arrow(placed, lambda it: whole(pick(False)(it)), schema)
+    moved = map_arrow(placed, pick(True), docs.schema).withColumn(block, block_of(F.col("doc_id"), blocks))
+    return same.unionByName(moved.groupBy(block).cogroup(gone.groupBy("block")).applyInArrow(both, schema))
 
 
-def _block(blocks: int):
-    @F.pandas_udf("long")
-    def block(s):
-        import pandas as pd
-
-        return pd.Series((mix(s.to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(blocks)).astype(np.int64))
-
-    return block("doc_id")
+_NONE = np.zeros(0, np.int64)
 
 
 def _power(n: int) -> int:
     return 1 << max(0, (n - 1).bit_length())
 
 
-def remove_repeats(docs: DataFrame, make, schema: str, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: FingerprintIndex | None = None, past: DataFrame | None = None) -> DataFrame:
-    """Runs docs (doc_id, text, ...) through a new index, batch by batch in order of ids.
+def _prime(n: int) -> int:
+    """The least prime from n on."""
+    while n < 2 or any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
 
-    With an index of earlier data, past (doc_id, text) is that data: it is searched for the passages that
-    the index shows as shared, and stays as it is.  The index gains the new batches."""
-    if (index is None) != (past is None):
-        raise ValueError("an index goes with the texts that are in it")
+def remove_repeats(docs: DataFrame, make, schema: str, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: SubstringIndex | None = None, most_bits: tuple[int, int] = (MAX_BITMAP, MOST_BITS)) -> DataFrame:
+    """Runs docs (doc_id, text, ...) through an index, batch by batch in order of ids.
+
+    Without an index a new one serves for this call alone.  A given one has earlier data, which counts as
+    earlier whatever its ids, and gains the new batches."""
     if index is not None and (index.window, index.gram) != (window, gram):
         raise ValueError("the index has other windows")
     spark = docs.sparkSession
-    small_batches(spark)
-    told = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    if not told.n:
-        return spark.createDataFrame([], schema)
-    parts = shuffles(spark)
-    buckets = _power(max(parts, told.n // 4096)) if index is None else index.buckets
-    blocks = max(2 * parts, told.n // 1024)
-    cuts = [told.lo + (told.hi + 1 - told.lo) * k // batches for k in range(batches + 1)]
-    index = FingerprintIndex(spark, buckets, window, gram) if index is None else index
-    gone = None
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        if lo == hi:
-            continue
-        batch = docs.filter((F.col("doc_id") >= lo) & (F.col("doc_id") < hi))
-        flat, shift = shared_bitmap(index.merge(batch.select("doc_id", "text")), buckets)
-        if not flat.any():
-            continue
-        held = spark.sparkContext.broadcast(flat)
-        cands = candidate_windows(batch.select("doc_id", "text"), held, shift, buckets, window, gram, False)
-        history = [] if past is None else [past.select("doc_id", "text")]
-        if lo > told.lo:
-            history.append(docs.filter(F.col("doc_id") < lo).select("doc_id", "text"))
-        for old in history:
-            cands = cands.unionByName(candidate_windows(old, held, shift, buckets, window, gram, True))
-        one = removed_windows(cands, blocks)
-        gone = one if gone is None else gone.unionByName(one)
-    if gone is None:
-        gone = spark.createDataFrame([], "block long, docs binary, pos binary")
-    return _apply(docs, gone, blocks, window, make, schema)
+    told = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    blocks = _prime(8 + (told.size >> BLOCK_BYTES))
+    own, gones = index is None, []
+    tagged = not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if told.lo is not None:
+        if index is None:
+            shared_dir(spark)
+            index = SubstringIndex.create(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/substring-{uuid.uuid4().hex}", max(8, told.size >> BUCKET_BYTES), window, gram)
+        ends = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+        cuts = sorted({told.lo, told.hi + 1, *(min(max(int(x), told.lo), told.hi) for x in ends)})
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            batch = docs.filter((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)).select("doc_id", "text")
+            gone = index.append(batch, blocks, not own or hi <= told.hi, most_bits[0], tagged)
+            if gone is not None:
+                gones.append(gone)
+        if own:
+            index._delete()
+    gone = gones[0] if gones else None
+    for more in gones[1:]:
+        gone = gone.unionByName(more)
+    return _apply(docs, gone, blocks, make, schema, most_bits[1], tagged)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,7 +558,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(id_text(table(spark, sf_dir, "documents")), digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_from_documents(docs: DataFrame) -> DataFrame:
+def remove_from_documents(docs: DataFrame, index: SubstringIndex | None = None) -> DataFrame:
     """docs with repeated passages cut out of ``text``; a text that loses nothing stays byte for byte.
 
     Words that stay are joined by one space in texts that lose some; ``n_chars``, if there, is set anew."""
@@ -405,4 +573,4 @@ def remove_from_documents(docs: DataFrame) -> DataFrame:
             cols["n_chars"] = pa.array([len(x) if x is not y and x is not None else n for x, y, n in zip(new, old, t["n_chars"].to_pylist(), strict=True)], t.schema.field("n_chars").type)
         return pa.table(cols)
 
-    return remove_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long")), cut, schema)
+    return remove_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long")), cut, schema, index=index)
