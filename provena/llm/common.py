@@ -170,6 +170,7 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,6 +186,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(x: np.ndarray, width: int | None = None, rising: bool = False) -> bytes:
+    """x byte plane by byte plane, so that planes of zeros compress; only the low ``width`` bytes; rising: as steps."""
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T[:width]).tobytes()
+
+
+def unpacked(blob: bytes, of: type, width: int | None = None, rising: bool = False) -> np.ndarray:
+    size = np.dtype(of).itemsize
+    planes = np.frombuffer(blob, np.uint8).reshape(width or size, -1)
+    x = np.zeros((planes.shape[1], size), np.uint8)
+    x[:, : width or size] = planes.T
+    x = x.view(of).ravel()
+    return np.cumsum(x, dtype=of) if rising else x
+
+
+def power_of_two(n: int) -> int:
+    return 1 << max(0, (n - 1).bit_length())
+
+
 def row_bytes(b: pa.RecordBatch) -> np.ndarray:
     """Bytes of strings and binaries in each row, and some for the rest."""
     size = np.full(b.num_rows, 64, np.int64)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import MOST_BITS, few_files, free_name, id_bitmap, id_text, in_bitmap, map_arrow, mix, saved, shared_dir, span_hashes, table, text_buffer, window_hashes, window_mask, word_hashes
+from provena.llm.common import MOST_BITS, few_files, free_name, id_text, map_arrow, mix, packed, power_of_two, saved, shared_dir, span_hashes, table, text_buffer, unpacked, window_hashes, window_mask, word_hashes
 
 WINDOW, GRAM, FANOUT = 20, 8, 2
 #: Entries that a task holds before it hands them on.
@@ -58,22 +58,6 @@ BUCKET_BYTES, BLOCK_BYTES = 24, 22
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
-def packed(x: np.ndarray, width: int | None = None, rising: bool = False) -> bytes:
-    """x byte plane by byte plane, so that planes of zeros compress; only the low ``width`` bytes; rising: as steps."""
-    if rising:
-        x = np.diff(x, prepend=x.dtype.type(0))
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T[:width]).tobytes()
-
-
-def unpacked(blob: bytes, of: type, width: int | None = None, rising: bool = False) -> np.ndarray:
-    size = np.dtype(of).itemsize
-    planes = np.frombuffer(blob, np.uint8).reshape(width or size, -1)
-    x = np.zeros((planes.shape[1], size), np.uint8)
-    x[:, : width or size] = planes.T
-    x = x.view(of).ravel()
-    return np.cumsum(x, dtype=of) if rising else x
-
-
 def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) of each n consecutive entries, by doubling."""
     width, out = 1, x
@@ -167,8 +151,10 @@ def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
         new = np.r_[True, (f[1:] != f[:-1]) | (h[1:] != h[:-1])]
         f, h = f[new], h[new]
         at = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-        counts = np.diff(np.r_[at, len(f)]).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([packed(f[at], rising=True)], pa.binary()), pa.array([packed(counts)], pa.binary()), pa.array([packed(h, 6)], pa.binary())], ["keys", "counts", "hashes"])
+        ends = np.r_[at, len(f)]
+        for i in range(0, len(at), 1 << 14):  # rows of some hundred kilobytes
+            mine = ends[i : i + (1 << 14) + 1]
+            yield pa.RecordBatch.from_arrays([pa.array([packed(f[mine[:-1]], rising=True)], pa.binary()), pa.array([packed(np.diff(mine).astype(np.uint32))], pa.binary()), pa.array([packed(h[mine[0] : mine[-1]], 6)], pa.binary())], ["keys", "counts", "hashes"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -345,7 +331,7 @@ class SubstringIndex:
     @classmethod
     def create(cls, spark: SparkSession, path: str, buckets: int, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> SubstringIndex:
         index = cls(spark, path)
-        index.buckets, index.window, index.gram, index.fanout = _power(buckets), window, gram, fanout
+        index.buckets, index.window, index.gram, index.fanout = power_of_two(buckets), window, gram, fanout
         index._commit()
         return index
 
@@ -464,26 +450,41 @@ def kept_words(text: bytes, starts: np.ndarray, window: int) -> tuple[int, int,
     return len(words), int(len(words) - keep.sum()), b" ".join(compress(words, keep.tolist()))
 
 
-def _apply(docs: DataFrame, gone: DataFrame | None, blocks: int, make, schema: str, most: int, tagged: bool) -> DataFrame:
+def affected(gone: DataFrame, n_docs: int, most: int):
+    """(broadcast bitmap of the documents that lose words, its number of bits): 16 bits a document, ``most`` in all."""
+    bits = 1 << max(15, min(most.bit_length() - 1, (16 * n_docs).bit_length()))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.zeros(bits // 8, np.uint8)
+        for b in it:
+            for blob in b["docs"].to_pylist():
+                p = mix(np.unique(unpacked(zlib.decompress(blob), np.int64)).view(np.uint64)) & np.uint64(bits - 1)
+                np.bitwise_or.at(flat, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        pieces = flat.reshape(-1, 4096)
+        full = np.flatnonzero(pieces.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([pieces[k].tobytes() for k in full], pa.binary())], ["piece", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in gone.select("docs").mapInArrow(run, "piece long, bits binary").groupBy("piece").agg(F.expr("bitmap_or_agg(bits)").alias("bits")).collect():
+        out[r.piece * 4096 : (r.piece + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return gone.sparkSession.sparkContext.broadcast(out), bits
+
+
+def _apply(docs: DataFrame, gone: DataFrame | None, blocks: int, make, schema: str, n_docs: int, most: int, tagged: bool) -> DataFrame:
     """make(texts, window starts to remove of each) -> arrays; only texts that lose words, and a few by chance, are moved."""
     whole = lambda it: (pa.RecordBatch.from_struct_array(t.to_struct_array().combine_chunks()) for b in it for t in [make(pa.Table.from_batches([b]), [_NONE] * b.num_rows)])
     if gone is None:
         return map_arrow(docs, whole, schema)
 
-    def ids(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for blob in b["docs"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpacked(zlib.decompress(blob), np.int64)))], ["doc_id"])
-
-    held, bits = id_bitmap(gone.select("docs").mapInArrow(ids, "doc_id long"), most)
-    place, block = free_name(docs, "place"), free_name(docs, "block")
-    placed = docs.withColumn(place, F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+    held, bits = affected(gone, n_docs, most)
+    block = free_name(docs, "block")
 
     def pick(hit: bool):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                found = in_bitmap(held.value, b[place]) & np.asarray(b["doc_id"].is_valid())
-                b = b.drop_columns([place]).filter(pa.array(found == hit))
+                p = mix(np.asarray(b["doc_id"].fill_null(0)).view(np.uint64)) & np.uint64(bits - 1)
+                found = (held.value[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                b = b.filter(pa.array((found & np.asarray(b["doc_id"].is_valid())) == hit))
                 if b.num_rows:
                     yield b
 
@@ -500,18 +501,14 @@ def _apply(docs: DataFrame, gone: DataFrame | None, blocks: int, make, schema: s
         starts = [pos[a:b][pos[a:b] >> 32 == tag >> 32] - tag for a, b, tag in zip(lo.tolist(), hi.tolist(), tags, strict=True)]
         return make(left, [np.unique(x) for x in starts])
 
-    same = map_arrow(placed, lambda it: whole(pick(False)(it)), schema)
-    moved = map_arrow(placed, pick(True), docs.schema).withColumn(block, block_of(F.col("doc_id"), blocks))
+    same = map_arrow(docs, lambda it: whole(pick(False)(it)), schema)
+    moved = map_arrow(docs, pick(True), docs.schema).withColumn(block, block_of(F.col("doc_id"), blocks))
     return same.unionByName(moved.groupBy(block).cogroup(gone.groupBy("block")).applyInArrow(both, schema))
 
 
 _NONE = np.zeros(0, np.int64)
 
 
-def _power(n: int) -> int:
-    return 1 << max(0, (n - 1).bit_length())
-
-
 def _prime(n: int) -> int:
     """The least prime from n on."""
     while n < 2 or any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
@@ -527,7 +524,7 @@ def remove_repeats(docs: DataFrame, make, schema: str, window: int = WINDOW, gra
     if index is not None and (index.window, index.gram) != (window, gram):
         raise ValueError("the index has other windows")
     spark = docs.sparkSession
-    told = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    told = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     blocks = _prime(8 + (told.size >> BLOCK_BYTES))
     own, gones = index is None, []
     tagged = not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
@@ -547,7 +544,7 @@ def remove_repeats(docs: DataFrame, make, schema: str, window: int = WINDOW, gra
     gone = gones[0] if gones else None
     for more in gones[1:]:
         gone = gone.unionByName(more)
-    return _apply(docs, gone, blocks, make, schema, most_bits[1], tagged)
+    return _apply(docs, gone, blocks, make, schema, told.n, most_bits[1], tagged)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,60 +110,100 @@ def test_components(spark):
 # 1
 
 
-def test_language_model(spark):
+class BruteModel:
+    """The model by its definition, from exact counts by dictionary."""
+
+    def __init__(self, train):
+        toks = [[*words(lower(t)), None] for t in train]
+        self.c = Counter(w for ws in toks for w in ws)
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        pairs = Counter((p, w) for ws in toks for p, w in zip([None, *ws], ws, strict=False))
+        triples = Counter(((o, p), w) for ws in toks for o, p, w in zip([None, *ws], ws, ws[1:], strict=False))
+        self.m, self.s, self.t = {}, Counter(), Counter()
+        for (h, w), k in [*pairs.items(), *triples.items()]:
+            if k >= 2:
+                k = int(math.log2(k))
+                self.m[h, w] = (2**k + 2 ** (k + 1) - 1) / 2
+                self.s[h] += self.m[h, w]
+                self.t[h] += 1
+
+    def base(self, w):
+        return (self.c[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+
+    def p(self, w, before):
+        """before: the one or two tokens of the text before w, a first end included."""
+        q = self.base(w)
+        for h in [before[-1], tuple(before[-2:])][: len(before)]:
+            if self.t[h]:
+                q = (self.m.get((h, w), 0) + self.t[h] * q) / (self.s[h] + self.t[h])
+        return q
+
+    def score(self, text):
+        ws = [None, *words(lower(text)), None]
+        return sum(math.log10(self.p(w, ws[max(0, i - 2) : i])) for i, w in enumerate(ws) if i)
+
+
+@pytest.mark.parametrize("bucket_bytes", [lm.BUCKET_BYTES, 9])
+def test_language_model(spark, bucket_bytes):
     rows = texts()
     docs = common.id_text(frame(spark, rows))
-    model = lm.LogFrequencyModel.fit(docs.filter(~lm.held_out(F.col("doc_id"))), len(rows))
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(rows))}
+    brute = BruteModel([t for i, t in enumerate(rows) if not out[i]])
+    # with many bits and probes no false positives are left; then scores are exact, in any number of buckets
+    model = lm.LogFrequencyModel.fit(docs.filter(~lm.held_out(F.col("doc_id"))), bits=64, probes=20, bucket_bytes=bucket_bytes)
+    assert (model.layout.buckets > 8 and len(model.layout.hot) > 0) == (bucket_bytes == 9)
     got = {r.doc_id: r for r in model.score(docs).collect()}
-    toks = {i: [*words(lower(t)), None] for i, t in enumerate(rows)}
-    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
-    c = Counter(w for i, ws in toks.items() if not out[i] for w in ws)
-    n, v = sum(c.values()), len(c)
-    for i, ws in toks.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(ws), sum(w in c for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
-        assert r.score < 0
-    routed = {r.doc_id: r for r in model.score(docs, max_broadcast=0).collect()}
-    assert all(routed[i].score == pytest.approx(got[i].score) and routed[i].base_score == pytest.approx(got[i].base_score) for i in got)
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert lm.LogFrequencyModel.fit(empty(spark), 0).score(docs).count() == len(rows)
-
-
-def test_filter_levels():
+    for i, t in enumerate(rows):
+        r, ws = got[i], [*words(lower(t)), None]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(ws), sum(w in brute.c for w in ws), brute.n)
+        assert r.base_score == pytest.approx(sum(math.log10(brute.base(w)) for w in ws))
+        assert r.score == pytest.approx(brute.score(t))
+    most = 1 if bucket_bytes > 9 else 6_000
+    many = {r.doc_id: tuple(r) for r in model.score(docs, max_broadcast=most).collect()}
+    assert len(model._portions(most)) > 2 and {i: pytest.approx(tuple(r)) for i, r in got.items()} == many
+    usual = {r.doc_id: r.score for r in lm.LogFrequencyModel.fit(docs.filter(~lm.held_out(F.col("doc_id")))).score(docs).collect()}
+    assert all(usual[i] == pytest.approx(r.score, rel=0.02, abs=0.5) for i, r in got.items())
+    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
+
+
+def test_language_model_of_nothing(spark):
+    model = lm.LogFrequencyModel.fit(empty(spark))
+    got = model.score(common.id_text(spark.createDataFrame([(1, "a b"), (1, None), (None, "")], "doc_id long, text string"))).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 3] and all(r.train_tokens == 0 and r.base_score == 0 and r.score == 0 for r in got)
+    assert model.score(empty(spark)).count() == 0
+
+
+def test_probabilities_sum_to_one(spark):
+    """Over the whole vocabulary and the unknown word, for contexts of real text of one and of two words."""
+    docs = common.id_text(common.table(spark, "/root/testdata/sf0.001", "documents"))
+    model = lm.LogFrequencyModel.fit(docs, bits=64, probes=20)
+    portion = model._portion(model._portions(1 << 40)[0])
+    unknown = np.uint64(12345)
+    u = np.unique(np.r_[portion.words, unknown])
+    rng = np.random.default_rng(1)
+    import pyarrow as pa
+
+    t = lm.tokens(pa.array([r.text for r in docs.limit(50).collect()]))[0]
+    seen_two = 0
+    for k in rng.choice(len(t) - 2, 1000, replace=False):
+        o, p = (np.full(len(u), int(np.searchsorted(u, x))) for x in (t[k], t[k + 1]))
+        known = portion.known(u, np.arange(len(u)), p, o, np.full(len(u), True))
+        seen_two += known[6, 0] > 0
+        assert (10 ** lm.log_probabilities(known, model.n, model.v)[1]).sum() == pytest.approx(1, abs=1e-3)
+    assert seen_two > 50
+
+
+def test_levels():
+    assert [int(x) for x in lm.level(np.array([0, 1, 2, 3, 4, 7, 8]))] == [0, 0, 1, 1, 2, 2, 3]
+    assert lm.middle(np.array([0, 1, 2])).tolist() == [0, 2.5, 5.5]
     key = common.mix(np.arange(1, 3001, dtype=np.uint64))
-    count = np.arange(1, 3001)
-    lv = lm.level(count)
-    assert [int(x) for x in lm.level(np.array([0, 1, 2, 3, 4, 7, 8]))] == [0, 1, 2, 2, 3, 3, 4]
-    bits = int(lv.sum()) * lm.BITS // 64 * 64
-    flat = np.zeros(bits, bool)
-    for j in range(1, int(lv.max()) + 1):
-        for s in lm.slots(lm.entry(key[lv >= j], j), bits):
-            flat[s.astype(np.int64)] = True
-    f = lm.LogFilter({0: np.packbits(flat).tobytes()}, 1)
+    lv = lm.level(np.arange(1, 3001))
+    f = lm.LogFilter({0: lm.filter_bits([lm.entry(key[lv >= j], j) for j in range(1, int(lv.max()) + 1)])}, 1)
     got = f.levels(key, np.zeros(len(key), np.int64))
-    assert (got >= lv).all() and (got > lv).mean() < 0.05  # never too low, seldom too high
-    other = common.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64))
-    assert (f.levels(other, np.zeros(len(other), np.int64)) > 0).mean() < 0.05
-
-
-def test_buckets_without_training_words(spark):
-    f = lm.LogFilter({1: b"\xff" * 8}, 4)
-    key = common.mix(np.arange(1, 9, dtype=np.uint64))
-    assert f.levels(key, np.arange(8) % 4).tolist() == [0, 64, 0, 0] * 2
-    rows = ["one two three four"] * 40 + [f"other words {k} of no training text" for k in range(60)]
-    docs = common.id_text(frame(spark, rows, extra=False))
-    model = lm.LogFrequencyModel.fit(docs.filter(F.col("doc_id") < 40), 2048 * 64)
-    got, routed = ({r.doc_id: r for r in model.score(docs, max_broadcast=n).collect()} for n in (lm.MAX_BROADCAST, 0))
-    assert model.buckets == 64 and len(got) == 100
-    assert all(routed[i].score == pytest.approx(got[i].score) and routed[i].base_score == pytest.approx(got[i].base_score) for i in got)
-
-
-def test_probabilities_sum_to_one_at_most():
-    cw = np.array([5.0, 3, 2, 0])
-    p = 10 ** lm.log_probabilities(cw, np.full(4, 4.0), np.full(4, 2.0), np.array([3.0, 1, 0, 0]), 10, 3)
-    assert 0.9 < p.sum() <= 1.0 + 1e-9
+    assert (got >= lv).all() and (got > lv).mean() < 0.005  # never too low, seldom too high
+    other = common.mix(np.arange(10**6, 10**6 + 20000, dtype=np.uint64))
+    assert (f.levels(other, np.zeros(len(other), np.int64)) > 0).mean() < 0.002
+    assert lm.LogFilter({1: b"\xff" * 8}, 4).levels(key[:8], np.arange(8) % 4).tolist() == [0, 64, 0, 0] * 2
 
 
 # 2
