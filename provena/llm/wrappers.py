@@ -2,18 +2,27 @@
 
 A page becomes a stream of leaf tokens: the path of block elements (tags with class, id and role) and
 the text there.  The streams of one host are aligned one after the other into a union-free regular
-expression over paths.  Where texts differ, a token becomes a text slot.  Where a stream has a run of
-equal tokens, or of equal groups, it becomes a repeated group.  Where one side has tokens that the
-other lacks, they become optional.  Each part of the wrapper gathers how often it occurs, how long its
-texts are, how much of them is link text and whether they vary; that and its path decide whether it is
-content.  Each page decides by its own parts: those in article or main if it has some, else named ones,
-else those with few links.  Pages with and without text in article or main have separate wrappers.
+expression over paths.  Where texts differ, a token becomes a text slot.  A run of equal tokens, or of
+equal groups of any length, becomes a repeated group.  A mismatch is resolved by squares first: tokens that
+one side lacks and that repeat the group just before them make that group a repeated one; else they
+become optional.  Each part of the wrapper gathers how often it occurs, how long its texts are, how much of
+them is link text and whether they vary.
+
+With ``FEW`` different pages or more, the wrapper decides.  Its text slots with few links are weighed by
+their text; the container of the heaviest one, widened while that adds nothing but headings, is the
+article's place.  Content is what the wrapper has there less template: parts that are the same on every
+page.  Elements that cannot hold an article by their meaning (``OUTSIDE``, ``_BAD_NAME``) never count.  Pages
+without text in that place, and hosts with fewer different pages, are decided by tags and names: article
+or main, else named parts, else those with few links.  Pages whose most text is under different top
+elements have separate wrappers.
 
 Hosts are dealt into groups of about ``GROUP`` pages, so a host of a third of all pages is many
 groups, each with its own wrapper; every page is in one group and none is dropped.
 
 A null page is empty; an empty page, and one without content, has empty text.  Pages without a host
-form a group by themselves.  Rows that repeat an id are handled one by one.
+form a group by themselves.  Copies of a page count once in its wrapper and get the same text.  Rows that
+repeat an id are handled one by one; ids, then urls, order the alignment, and ties there are copies or in
+the order of their html.  Long pages are aligned whole.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +38,8 @@ from pyspark.sql import functions as F
 from provena.llm.common import saved, table
 
 GROUP = 128
-LONGEST_GROUP = 6
+#: Different pages from which a wrapper tells template from text.
+FEW = 3
 #: Rows of an alignment that are held at once.
 BLOCK = 1024
 #: Hosts of more than GROUP pages that are broadcast, some 20 MB; if there are more, a join by host deals them.
@@ -45,23 +55,29 @@ _SELF_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 #: Elements that never hold the article.
 OUTSIDE = frozenset("head title nav header footer aside form menu button select option dialog fieldset".split())
 INSIDE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that set parts of a page apart.
+SECTIONS = frozenset("article aside div footer header main nav section".split())
 _BAD_NAME = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget\w*|footer|header|masthead|comments?|respond|disqus|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip|copyright|legal|tags?|meta|byline)(?:$|[-_\s\d])", re.IGNORECASE)
 _GOOD_NAME = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body|text)(?:$|[-_\s])", re.IGNORECASE)
 
 
-def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path of blocks, text with white space folded, characters in links) of each run of text."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []
+Leaf = tuple[tuple[str, ...], str, int, tuple[int, ...]]
+
+
+def leaves(page: str) -> list[Leaf]:
+    """(path of blocks, text with white space folded, characters in links, which blocks) of each run of text."""
+    out: list[Leaf] = []
+    stack: list[tuple[str, str, int]] = []
     run: list[str] = []
-    links, depth = 0, 0
+    links, depth, count = 0, 0, 0
 
     def flush() -> None:
         nonlocal links
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                out.append((tuple(s for _, s in stack), text, links))
+                out.append((tuple(s for _, s, _ in stack), text, links, tuple(k for *_, k in stack)))
             run.clear()
             links = 0
 
@@ -101,7 +117,8 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             while stack and stack[-1][0] in ends:
                 stack.pop()
         marks = "".join(f".{a.lower()}={b or c or d}" for a, b, c, d in _ATTR.findall(m[4])) if m[4] else ""
-        stack.append((name, name + marks))
+        count += 1
+        stack.append((name, name + marks, count))
     flush()
     return out
 
@@ -109,13 +126,24 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 class Part:
     """One token of a wrapper: a path with a count range and a text slot."""
 
-    __slots__ = ("path", "optional", "repeated", "varies", "texts", "taken", "pages", "chars", "links")
+    __slots__ = ("path", "optional", "repeated", "varies", "texts", "taken", "pages", "chars", "links", "into")
 
     def __init__(self, path: tuple[str, ...]):
         self.path, self.optional, self.repeated, self.varies = path, False, False, False
         self.texts: list[str] = []  # of the first page that has the part, one for each position of a run
         self.taken = 0  # positions that the page in hand has filled
         self.pages = self.chars = self.links = 0
+        self.into: Part | None = None  # the part of a repeated group that this one has become
+
+    def root(self) -> "Part":
+        return self if self.into is None else self.into.root()
+
+    def absorb(self, other: "Part") -> None:
+        """other is one more round of this part's group."""
+        self.texts += other.texts
+        self.varies |= other.varies
+        self.pages, self.chars, self.links = max(self.pages, other.pages), self.chars + other.chars, self.links + other.links
+        other.into = self
 
     def take(self, text: str, links: int) -> None:
         """The next text of the page in hand, compared with what other pages have at its position."""
@@ -142,18 +170,22 @@ class Part:
 
 def folded(paths: list[tuple[str, ...]]) -> list[list[int]]:
     """Positions grouped so that runs of equal paths, and of equal groups of paths, share an entry."""
+    n = len(paths)
+    following, last = [n] * n, {}
+    for i in range(n - 1, -1, -1):
+        following[i] = last.get(paths[i], n)
+        last[paths[i]] = i
     entries: list[list[int]] = []
-    i, n = 0, len(paths)
+    i = 0
     while i < n:
-        for size in range(1, LONGEST_GROUP + 1):
-            group = paths[i : i + size]
-            if i + 2 * size <= n and paths[i + size : i + 2 * size] == group and len(set(group)) == size:
-                j = i + size
-                while paths[j : j + size] == group:
-                    j += size
-                entries += [list(range(i + k, j, size)) for k in range(size)]
-                i = j
-                break
+        size = following[i] - i  # a group can only begin again where its first path does
+        group = paths[i : i + size]
+        if i + 2 * size <= n and paths[i + size : i + 2 * size] == group:
+            j = i + size
+            while paths[j : j + size] == group:
+                j += size
+            entries += [list(range(i + k, j, size)) for k in range(size)]
+            i = j
         else:
             entries.append([i])
             i += 1
@@ -209,48 +241,109 @@ class Wrapper:
     def __init__(self) -> None:
         self.parts: list[Part] = []
         self.seen = self.distinct = 0
+        self.place: tuple[str, ...] | None = None
 
-    def align(self, page: list[tuple[tuple[str, ...], str, int]]) -> list[Part]:
+    def align(self, page: list[Leaf]) -> list[Part]:
         """Generalises the wrapper so that it matches the page; the part that each leaf matched."""
         owner: list[Part] = [None] * len(page)  # type: ignore[list-item]
-        entries = folded([p for p, _, _ in page])
-        old, parts = self.parts, []
-        pairs = common([p.path for p in old], [page[at[0]][0] for at in entries])
-        i = 0
-        for k, at in enumerate(entries):
-            path, j = page[at[0]][0], pairs.get(k, -1)
-            if j >= 0:
-                for skipped in old[i:j]:
-                    skipped.optional = True
-                parts += old[i : j + 1]
-                part, i = old[j], j + 1
-            elif parts and parts[-1].path == path:
-                part = parts[-1]
-                part.repeated = True  # a run that the wrapper had folded differently
-            else:
-                part = Part(path)
-                part.optional = self.seen > 0
-                parts.append(part)
+        entries = folded([leaf[0] for leaf in page])
+        paths = [page[at[0]][0] for at in entries]
+        old = self.parts
+        parts: list[Part] = []
+        match: list[Part] = [None] * len(entries)  # type: ignore[list-item]
+        pairs = common([p.path for p in old], paths)
+
+        def lacking(i: int, j: int) -> None:
+            """old[i:j] have no token on this page: squares of what is before them go into it, others are optional."""
+            while i < j:
+                for size in range(min(j - i, len(parts)), 0, -1):
+                    if [p.path for p in old[i : i + size]] == [p.path for p in parts[-size:]]:
+                        for one, more in zip(parts[-size:], old[i : i + size], strict=True):
+                            one.repeated = True
+                            one.absorb(more)
+                        i += size
+                        break
+                else:
+                    old[i].optional = True
+                    parts.append(old[i])
+                    i += 1
+
+        def extra(k: int, m: int) -> None:
+            """Entries k..m have no part yet."""
+            while k < m:
+                for size in range(min(m - k, len(parts)), 0, -1):
+                    if paths[k : k + size] == [p.path for p in parts[-size:]]:
+                        match[k : k + size] = parts[-size:]
+                        for p in parts[-size:]:
+                            p.repeated = True
+                        k += size
+                        break
+                else:
+                    part = Part(paths[k])
+                    part.optional = self.seen > 0
+                    parts.append(part)
+                    match[k] = part
+                    k += 1
+
+        i = k = 0
+        for m in sorted(pairs):
+            j = pairs[m]
+            lacking(i, j)
+            extra(k, m)
+            parts.append(old[j])
+            match[m] = old[j]
+            i, k = j + 1, m + 1
+        lacking(i, len(old))
+        extra(k, len(entries))
+        for at, part in zip(entries, match, strict=True):
             if len(at) > 1:
                 part.repeated = True
             for x in at:
                 part.take(page[x][1], page[x][2])
                 owner[x] = part
-        for left in old[i:]:
-            left.optional = True
-        self.parts = parts + old[i:]
-        for part in self.parts:
+        self.parts = parts
+        for part in parts:
             part.close()
         self.seen += 1
         return owner
 
     def template(self, part: Part) -> bool:
         """Whether a slot is the same on every page of many with different texts."""
-        return not part.varies and self.distinct >= 3 and part.pages >= self.seen
-
-    def content(self, page: list[tuple[tuple[str, ...], str, int]], owner: list[Part]) -> list[str]:
-        """The article's texts of one aligned page, chosen by the parts that this page has."""
-        fair = [(t, p) for (_, t, _), p in zip(page, owner, strict=True) if not outside(p.path) and not self.template(p)]
+        return not part.varies and self.distinct >= FEW and part.pages >= self.seen
+
+    def locate(self) -> None:
+        """The article's place: the container of the heaviest text slot, widened by headings."""
+        slots = [p.root() for p in self.parts if p.varies and p.links <= 0.5 * p.chars and not outside(p.path)]
+        weight: dict[tuple[str, ...], int] = {}
+        for p in slots:
+            weight[p.path] = weight.get(p.path, 0) + p.chars
+        if self.distinct < FEW or not weight:
+            return
+        place = max(weight, key=lambda path: (weight[path], path))[:-1]
+        while place:
+            added = [path for path in weight if path[: len(place) - 1] == place[:-1] and path[: len(place)] != place]
+            if not added or any(tag_of(path[-1]) not in HEADINGS for path in added):
+                break
+            place = place[:-1]
+        self.place = place
+
+    def in_place(self, page: list[Leaf], owner: list[Part]) -> list[str]:
+        """Texts of the article's place on one page."""
+        place = self.place or ()
+        depth = len(place)
+        inner = [leaf[0][:depth] == place and len(leaf[0]) > depth for leaf in page]
+        if not depth:  # paragraphs of the page itself: what is set apart from them is not theirs
+            inner = [ok and tag_of(leaf[0][0]) not in SECTIONS for leaf, ok in zip(page, inner, strict=True)]
+        # text directly in the container only counts beside such parts
+        whole = {leaf[3][:depth] for leaf, ok in zip(page, inner, strict=True) if ok}
+        keep = [ok or leaf[0] == place and leaf[3] in whole for leaf, ok in zip(page, inner, strict=True)]
+        return [leaf[1] for leaf, p, ok in zip(page, owner, keep, strict=True) if ok and not outside(p.path) and not self.template(p.root()) and p.root().links <= 0.5 * p.root().chars]
+
+    def content(self, page: list[Leaf], owner: list[Part]) -> list[str]:
+        """The article's texts of one aligned page."""
+        if self.place is not None and (found := self.in_place(page, owner)):
+            return found
+        fair = [(leaf[1], p.root()) for leaf, p in zip(page, owner, strict=True) if not outside(p.path) and not self.template(p.root())]
         inside = [t for t, p in fair if marked(p.path)]
         if inside:
             return inside
@@ -280,21 +373,31 @@ def outside(path: tuple[str, ...]) -> bool:
     return False
 
 
-def extract_group(pages: list[str]) -> list[str]:
-    """Texts of pages of one host: one wrapper for its pages with text in article or main, one for the others."""
+def top_of(stream: list[Leaf]) -> str:
+    """The top element that most text outside links is under."""
+    weight: dict[str, int] = {}
+    for path, text, links, _ in stream:
+        if not outside(path):
+            weight[path[0] if path else ""] = weight.get(path[0] if path else "", 0) + len(text) - links
+    return max(weight, key=lambda k: (weight[k], k), default="")
+
+
+def extract_group(pages: list[str], infer: bool = True) -> list[str]:
+    """Texts of pages of one host, by one wrapper for each top element; infer: False takes each page by itself."""
     streams = [leaves(p) for p in pages]
     out = [""] * len(pages)
-    kinds: dict[bool, list[int]] = {}
+    kinds: dict[str | int, list[int]] = {}
     for k, s in enumerate(streams):
         if s:
-            kinds.setdefault(any(marked(p) and not outside(p) for p, _, _ in s), []).append(k)
-    for inside, mine in kinds.items():
+            kinds.setdefault(top_of(s) if infer else k, []).append(k)
+    for mine in kinds.values():
         wrapper, owners = Wrapper(), {}
         for k in mine:  # copies of a page count once
             if (key := tuple(streams[k])) not in owners:
                 owners[key] = wrapper.align(streams[k])
         # pages that differ outside of what can be content are copies too
-        wrapper.distinct = len({tuple(t for p, t, _ in key if not outside(p) and marked(p) >= inside) for key in owners})
+        wrapper.distinct = len({tuple(t for p, t, *_ in key if not outside(p)) for key in owners})
+        wrapper.locate()
         for k in mine:
             out[k] = " ".join(wrapper.content(streams[k], owners[tuple(streams[k])]))
     return out
@@ -314,7 +417,7 @@ def extract_pages(df: DataFrame, group: int = GROUP, id_col: str = "page_id", ur
 
     def run(t: pa.Table) -> pa.Table:
         # ids order the alignment, so the wrapper does not depend on how rows arrive
-        t = t.sort_by([("page_id", "ascending")])
+        t = t.sort_by([("page_id", "ascending"), ("url", "ascending"), ("html", "ascending")])
         return pa.table({"page_id": t["page_id"], "url": t["url"], "text": pa.array(extract_group(t["html"].to_pylist()), pa.string())})
 
     return dealt.select("wrapper", "page_id", "url", "html").groupBy("wrapper").applyInArrow(run, "page_id long, url string, text string")

@@ -383,6 +383,38 @@ def test_fixed_lists_and_far_parts_are_template():
     assert wrappers.extract_group([page(i, n) for i, n in enumerate(sizes)]) == [" ".join(f"Text {i} {k}" for k in range(n)) for i, n in enumerate(sizes)]
 
 
+def test_wrappers_decide_without_telling_tags_and_names(spark):
+    """All sections of the pages become plain div: with wrappers the text stays the same, without them it does not."""
+    pages: dict[str, list[str]] = {}
+    for r in common.table(spark, "/root/testdata/sf0.01", "pages").collect():
+        pages.setdefault(r.url.split("/")[2], []).append(r.html)
+
+    def neutral(page):
+        page = re.sub(r"<(/?)(?:nav|article|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", page)
+        return re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+    told = same = off = 0
+    for mine in (m for m in pages.values() if len(set(m)) >= wrappers.FEW):
+        want = [" ".join(H.unescape(re.sub("<[^>]*>", "\n", re.sub(r"</?(b|i|a)\b[^>]*>", "", re.search("<article>(.*?)</article>", m, re.DOTALL)[1]))).split()) for m in mine]
+        got, alone = (wrappers.extract_group([neutral(m) for m in mine], infer) for infer in (True, False))
+        told += len(mine)
+        same += sum(map(str.__eq__, want, got))
+        off += sum(map(str.__eq__, want, alone))
+    assert told > 100 and same >= 0.98 * told and off <= 0.1 * told
+
+
+def test_squares_across_pages_become_repeated_groups():
+    """A group that no page repeats by itself in the first place, of more tokens than any fixed size."""
+    group = "".join(f"<p class=g{k}>text %s {k}</p>" for k in range(12))
+    page = lambda i, n: "<div class=top>x</div>" + "".join(group % tuple(f"{i}.{m}" for _ in range(12)) for m in range(n)) + "<h5>end</h5>"
+    for sizes in ([1, 2, 1, 3], [3, 1, 2]):
+        w = wrappers.Wrapper()
+        for i, n in enumerate(sizes):
+            w.align(wrappers.leaves(page(i, n)))
+        assert [p.path[-1] for p in w.parts] == ["div.class=top", *(f"p.class=g{k}" for k in range(12)), "h5"]
+        assert all(p.repeated and p.varies for p in w.parts[1:-1]) and not any(p.optional for p in w.parts)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcde"), max_size=12), st.sampled_from([1, 2, 1024]))
 def test_common_is_longest(a, b, block):
