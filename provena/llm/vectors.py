@@ -3,15 +3,19 @@
 Unit vectors are turned by a fixed random rotation and split into blocks of ``BLOCK`` coordinates.  A
 pair within squared distance e has a block within its proportional share e * BLOCK / dim, so it is
 enough to range-join each block under that share and to verify the union of candidates by cosine in
-double precision.  A block's join cuts its first coordinate into slabs as wide as the radius, so
-partners lie in one slab or in neighbours; slabs are cut into chunks of at most about ``CHUNK``
-vectors, and a task holds one pair of chunks.  In a task, rows are sorted by the second coordinate and
-compared in tiles.  A pair counts in the first block that it passes, so no union has to be shuffled.
-Tasks return link counts and spanning edges, never all pairs.
+double precision.  Vectors are dealt into chunks of about ``CHUNK`` by a hash; a cell holds one pair of
+chunks, range-joins all blocks there in tiles, and verifies each candidate once.  So a vector is sent
+once for each chunk of the table, whatever the number of blocks.  Cells return link counts and spanning
+edges, never pairs.
+
+Low-dimensional cells of space cannot replace chunks here: at cosine 0.9 the radius of a block is
+1.3 to 1.8 standard deviations of its coordinates, so a grid on k coordinates sends a vector to 3**k
+cells to leave out a share of 1 - 0.75**k of the pairs (see the README for figures).
 
 Equal vectors form one class that is compared once.  Vectors that are null, empty, zero, or hold a null
 or non-finite component link with nothing; vectors of different lengths do not link.  Rows that repeat
-a vec_id count as further vectors of that id.
+a vec_id count as further vectors of that id.  Rows without a vec_id count as vectors, link others and
+are linked, but give no component its name.  Ties at the threshold link.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -77,134 +81,80 @@ def read_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(run, _CLASS)
 
 
-def linked(u: np.ndarray, home: np.ndarray, away: np.ndarray | None, block: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of u, one of home and one of away (None: two of home), that pass this block first."""
-    dim = u.shape[1]
-    spans = _spans(dim)
-    turned = u @ rotation(dim)
-    lo, hi = spans[block]
-    most = 2 * (1 - cosine)
-    budget = [most * (b - a) / dim for a, b in spans]
-    radius = np.sqrt(budget[block]) + 1e-6
-    key = turned[:, min(lo + 1, hi - 1)]
-    home = home[np.argsort(key[home], kind="stable")]
-    other = home if away is None else away[np.argsort(key[away], kind="stable")]
-    x = turned[:, lo:hi].astype(np.float32)
-    half = (x * x).sum(1) / 2
-    okey = key[other]
+def linked(u: np.ndarray, home: np.ndarray, away: np.ndarray | None, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of u, one of home and one of away (None: two of home), within the cosine."""
+    dim, turned, other = u.shape[1], u @ rotation(u.shape[1]), home if away is None else away
+    left, right, least = [], [], []
+    for lo, hi in _spans(dim):  # x y - x x / 2 - y y / 2, minus half a squared distance, as one product
+        x = turned[:, lo:hi].astype(np.float32)
+        half = (x * x).sum(1, keepdims=True) / 2
+        one = np.ones_like(half)
+        left.append(np.hstack([x, -half, one]))
+        right.append(np.hstack([x, one, -half]))
+        least.append(-np.float32((1 - cosine) * (hi - lo) / dim + 1e-5))
     for s in range(0, len(home), TILE):
         mine = home[s : s + TILE]
-        p, q = np.searchsorted(okey, [key[mine[0]] - radius, key[mine[-1]] + radius])
-        p = max(p, s) if away is None else p
-        for t in range(p, q, 4 * TILE):
-            theirs = other[t : min(q, t + 4 * TILE)]
-            near = x[mine] @ x[theirs].T >= half[mine][:, None] + half[theirs][None, :] - np.float32(radius * radius / 2 + 1e-5)
-            i, j = np.nonzero(near)
+        for t in range(s if away is None else 0, len(other), 4 * TILE):
+            theirs = other[t : t + 4 * TILE]
+            near = np.zeros((len(mine), len(theirs)), bool)
+            for x, y, k in zip(left, right, least, strict=True):
+                near |= x[mine] @ y[theirs].T >= k
             if away is None:
-                later = s + i < t + j
-                i, j = i[later], j[later]
-            if not len(i):
-                continue
-            for k in range(0, len(i), 200_000):
-                a, b = mine[i[k : k + 200_000]], theirs[j[k : k + 200_000]]
-                close = np.einsum("ij,ij->i", u[a], u[b]) >= cosine
-                a, b = a[close], b[close]
-                if len(a):
-                    d = (turned[a] - turned[b]) ** 2
-                    first = np.full(len(a), -1)
-                    for m in range(len(spans) - 1, -1, -1):
-                        c, e = spans[m]
-                        first[d[:, c:e].sum(1) <= budget[m] + 1e-9] = m
-                    first[first < 0] = 0  # only by rounding
-                    a, b = a[first == block], b[first == block]
-                    if len(a):
-                        yield a, b
-
-
-_ROW = "dim int, block int, slab int, chunk int, slab2 int, chunk2 int, side int, rep long, mult long, vec binary"
-
+                near &= (s + np.arange(len(mine)))[:, None] < (t + np.arange(len(theirs)))[None]
+            found = int(near.sum())
+            if 16 * found > near.size:  # many candidates: all cosines of the tile at once
+                i, j = np.nonzero(near & (u[mine] @ u[theirs].T >= cosine))
+            elif found:
+                i, j = np.nonzero(near)
+                close = np.einsum("ij,ij->i", u[mine[i]], u[theirs[j]]) >= cosine
+                i, j = i[close], j[close]
+            if found and len(i):
+                yield mine[i], theirs[j]
 
-def _join(reps: DataFrame, cosine: float, chunk: int) -> DataFrame:
-    """kind 0: (rep, number of linked vectors in other classes); kind 1: (rep, rep) spanning edges."""
-    most = 2 * (1 - cosine)
 
-    def slabs(vec: list[bytes], dim: int) -> np.ndarray:
-        t = unit(np.frombuffer(b"".join(vec), np.float64).reshape(-1, dim)) @ rotation(dim)
-        return np.stack([np.floor(t[:, a] / (np.sqrt(most * (b - a) / dim) + 1e-6)).astype(np.int64) for a, b in _spans(dim)], 1)
+_ROW = "dim int, c1 int, c2 int, side int, rep long, mult long, vec binary"
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for dim in set(b["dim"].to_pylist()):
-                s = slabs([v for v, d in zip(b["vec"].to_pylist(), b["dim"].to_pylist(), strict=True) if d == dim], dim)
-                for k in range(s.shape[1]):
-                    v, n = np.unique(s[:, k], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([dim] * len(v), pa.int32()), pa.array([k] * len(v), pa.int32()), pa.array(v, pa.int32()), pa.array(n)], ["dim", "block", "slab", "n"])
 
-    # slabs of a length are at most 2 / radius + 2 a block, however many vectors there are
-    sizes = reps.mapInArrow(count, "dim int, block int, slab int, n long").groupBy("dim", "block", "slab").agg(F.sum("n").alias("n")).collect()
-    parts = {(r.dim, r.block, r.slab): -(-r.n // chunk) for r in sizes}
-
-    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            reps_, mult, vecs, dims = (b[c].to_pylist() for c in ("rep", "mult", "vec", "dim"))
-            for dim in sorted(set(dims)):
-                rows = [i for i, d in enumerate(dims) if d == dim]
-                s = slabs([vecs[i] for i in rows], dim)
-                out: list[list] = [[] for _ in range(10)]
-
-                def put(*row, out=out) -> None:
-                    for c, v in zip(out, row, strict=True):
-                        c.append(v)
-
-                for i, where in zip(rows, s.tolist(), strict=True):
-                    h = (reps_[i] * 0x9E3779B97F4A7C15 % (1 << 64)) >> 33
-                    for k, slab in enumerate(where):
-                        n = parts[dim, k, slab]
-                        c = h % n
-                        put(dim, k, slab, c, slab, c, 0, reps_[i], mult[i], vecs[i])
-                        for o in range(n):
-                            if o != c:
-                                put(dim, k, slab, min(c, o), slab, max(c, o), int(c > o), reps_[i], mult[i], vecs[i])
-                        for o in range(parts.get((dim, k, slab + 1), 0)):
-                            put(dim, k, slab, c, slab + 1, o, 0, reps_[i], mult[i], vecs[i])
-                        for o in range(parts.get((dim, k, slab - 1), 0)):
-                            put(dim, k, slab - 1, o, slab, c, 1, reps_[i], mult[i], vecs[i])
-                types = [pa.int32()] * 7 + [pa.int64()] * 2 + [pa.binary()]
-                for a in range(0, len(out[0]), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 20_000], t) for x, t in zip(out, types, strict=True)], [x.split()[0] for x in _ROW.split(", ")])
-
-    key = ["dim", "block", "slab", "chunk", "slab2", "chunk2"]
+def _join(reps: DataFrame, cosine: float, chunk: int) -> DataFrame:
+    """kind 0: (class, number of linked vectors in other classes); kind 1: (class, class) spanning edges."""
+    parts = {r.dim: -(-r["count"] // chunk) for r in reps.groupBy("dim").count().collect()}
+    number = F.element_at(F.create_map(*[F.lit(x) for k, v in parts.items() for x in (k, v)]), F.col("dim")) if parts else F.lit(1)
+    c, n = F.col("c"), F.col("parts")
+    dealt = reps.withColumn("parts", number).withColumn("c", F.pmod(F.xxhash64("rep"), n).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)))
+    dealt = dealt.select("dim", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (c > F.col("o")).cast("int").alias("side"), "rep", "mult", "vec")
 
     def compare(t: pa.Table) -> pa.Table:
-        dim, block = t["dim"][0].as_py(), t["block"][0].as_py()
-        same = t["slab"][0].as_py() == t["slab2"][0].as_py() and t["chunk"][0].as_py() == t["chunk2"][0].as_py()
-        u = unit(np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(-1, dim))
+        same = t["c1"][0].as_py() == t["c2"][0].as_py()
+        u = unit(np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(-1, t["dim"][0].as_py()))
         side, rep, mult = (np.asarray(t[c].combine_chunks()) for c in ("side", "rep", "mult"))
         order = np.argsort(rep, kind="stable")
         u, side, rep, mult = u[order], side[order], rep[order], mult[order]
-        sets, links = Sets(len(u)), np.zeros(len(u), np.int64)
-        for a, b in linked(u, np.flatnonzero(side == 0), None if same else np.flatnonzero(side == 1), block, cosine):
-            np.add.at(links, a, mult[b])
-            np.add.at(links, b, mult[a])
+        sets, links = Sets(len(u)), np.zeros(len(u))
+        for a, b in linked(u, np.flatnonzero(side == 0), None if same else np.flatnonzero(side == 1), cosine):
+            links += np.bincount(a, mult[b], len(u)) + np.bincount(b, mult[a], len(u))
             sets.join(a, b)
         n, e = np.flatnonzero(links), np.flatnonzero(sets.lead != np.arange(len(u)))
-        return pa.table({"kind": pa.array(np.r_[np.zeros(len(n), np.int32), np.ones(len(e), np.int32)], pa.int32()), "a": np.r_[rep[n], rep[e]], "b": np.r_[links[n], rep[sets.lead[e]]]})
+        return pa.table({"kind": pa.array(np.r_[np.zeros(len(n), np.int32), np.ones(len(e), np.int32)], pa.int32()), "a": np.r_[rep[n], rep[e]], "b": np.r_[links[n].astype(np.int64), rep[sets.lead[e]]]})
 
-    return reps.mapInArrow(deal, _ROW).groupBy(*key).applyInArrow(compare, "kind int, a long, b long")
+    return dealt.select(*[x.split()[0] for x in _ROW.split(", ")]).groupBy("dim", "c1", "c2").applyInArrow(compare, "kind int, a long, b long")
 
 
 def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept, class_id (smallest vec_id of an equal vector; null if unusable)."""
     rows = saved(read_vectors(df, id_col, vec_col))
     key = ["d1", "d2"]
-    reps = saved(rows.filter("vec is not null").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("dim").alias("dim"), F.first("vec").alias("vec")))
+    # a class is known by its digest; its name, the smallest id, comes back at the end
+    reps = saved(rows.filter("vec is not null").groupBy(*key).agg(F.min("vec_id").alias("name"), F.count("*").alias("mult"), F.first("dim").alias("dim"), F.first("vec").alias("vec")).withColumn("rep", F.xxhash64(*key)))
     found = saved(_join(reps.select("rep", "mult", "dim", "vec"), cosine, chunk))
     links = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     comps = components(found.filter("kind = 1").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    classes = saved(reps.select(*key, "rep", "mult").join(links, "rep", "left").join(comps, "rep", "left").select(*key, F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
+    classes = saved(reps.select(*key, "rep", "name", "mult").join(links, "rep", "left").join(comps, "rep", "left").select(*key, "name", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
+    names = classes.groupBy("component").agg(F.min("name").alias("component_id"))
+    classes = classes.join(names, "component").select(*key, F.col("name").alias("class_id"), "links", "component_id")
     out = rows.select("vec_id", *key).join(classes, key, "left")
-    comp = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (comp == F.col("vec_id")).alias("kept"), "class_id")
+    comp = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(False)).alias("kept"), "class_id")
 
 
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
