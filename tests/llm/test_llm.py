@@ -150,7 +150,7 @@ def test_language_model(spark, bucket_bytes):
     out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(rows))}
     brute = BruteModel([t for i, t in enumerate(rows) if not out[i]])
     # with many bits and probes no false positives are left; then scores are exact, in any number of buckets
-    model = lm.LogFrequencyModel.fit(docs.filter(~lm.held_out(F.col("doc_id"))), bits=64, probes=20, bucket_bytes=bucket_bytes)
+    model = lm.LogFrequencyModel.fit(docs.filter(~lm.held_out(F.col("doc_id"))), bits=512, bucket_bytes=bucket_bytes)
     assert (model.layout.buckets > 8 and len(model.layout.hot) > 0) == (bucket_bytes == 9)
     got = {r.doc_id: r for r in model.score(docs).collect()}
     for i, t in enumerate(rows):
@@ -176,7 +176,7 @@ def test_language_model_of_nothing(spark):
 def test_probabilities_sum_to_one(spark):
     """Over the whole vocabulary and the unknown word, for contexts of real text of one and of two words."""
     docs = common.id_text(common.table(spark, "/root/testdata/sf0.001", "documents"))
-    model = lm.LogFrequencyModel.fit(docs, bits=64, probes=20)
+    model = lm.LogFrequencyModel.fit(docs, bits=512)
     portion = model._portion(model._portions(1 << 40)[0])
     unknown = np.uint64(12345)
     u = np.unique(np.r_[portion.words, unknown])
@@ -199,12 +199,13 @@ def test_levels():
     assert lm.middle(np.array([0, 1, 2])).tolist() == [0, 2.5, 5.5]
     key = common.mix(np.arange(1, 3001, dtype=np.uint64))
     lv = lm.level(np.arange(1, 3001))
-    f = lm.LogFilter({0: lm.filter_bits([lm.entry(key[lv >= j], j) for j in range(1, int(lv.max()) + 1)])}, 1)
+    held = lm.filter_bits([lm.entry(key[lv >= j], j) for j in range(1, int(lv.max()) + 1)])
+    f = lm.LogFilter({0: len(held)}, 1).put(0, held)
     got = f.levels(key, np.zeros(len(key), np.int64))
     assert (got >= lv).all() and (got > lv).mean() < 0.005  # never too low, seldom too high
     other = common.mix(np.arange(10**6, 10**6 + 20000, dtype=np.uint64))
     assert (f.levels(other, np.zeros(len(other), np.int64)) > 0).mean() < 0.002
-    assert lm.LogFilter({1: b"\xff" * 8}, 4).levels(key[:8], np.arange(8) % 4).tolist() == [0, 64, 0, 0] * 2
+    assert lm.LogFilter({1: 8}, 4).put(1, b"\xff" * 8).levels(key[:8], np.arange(8) % 4).tolist() == [0, 64, 0, 0] * 2
 
 
 # 2
