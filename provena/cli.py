@@ -12,6 +12,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provena.functions import spans
 from provena.operators import audit, baseline, compare, detect, experiment, inspect, normalize, unicode
 from provena.sources import readers, sinks
 
@@ -39,11 +40,15 @@ def _show(df: DataFrame, out: str | None) -> None:
         print(r)
 
 
-def _detector(a: argparse.Namespace):
+def _detector(a: argparse.Namespace, spark: SparkSession):
     if a.detector == "keyed":
         if not a.key:
             raise ValueError("the keyed detector needs --key")
-        return lambda d: detect.keyed(d, a.key.encode(), a.gamma)
+        words = None
+        if getattr(a, "vocabulary", None):
+            tiers = tuple(t for t in (a.tiers or "").split(",") if t)
+            words = [r.word for r in readers.vocabulary(spark, a.vocabulary, tiers).collect()]
+        return lambda d: detect.keyed(d, a.key.encode(), a.gamma, vocabulary=words)
     if a.detector == "external":
         return lambda d: detect.external(d, command=a.external_command)
     return {"none": detect.no_detector, "mock": detect.mock}[a.detector]
@@ -69,13 +74,20 @@ def parser() -> argparse.ArgumentParser:
 
     add("analyze", inputs="+")
     add("unicode", inputs="+")
-    add("transform", inputs="+").add_argument("--stages", required=True)
+    c = add("transform", "--unprotect", inputs="+")
+    c.add_argument("--stages", required=True)
+    c.add_argument("--punctuation", choices=normalize.PUNCTUATION_MODES, default="normalized")
+    c.add_argument("--edit-code", action="store_true")
+    c.add_argument("--edit-quotes", action="store_true")
+    c.add_argument("--totals", action="store_true")
     for name in ("detect", "experiment"):
         c = add(name, "--key", inputs="+")
         c.add_argument("--detector", choices=("none", "mock", "keyed") + (("external",) if name == "detect" else ()), default="none")
         c.add_argument("--gamma", type=float, default=0.5)
         if name == "detect":
             c.add_argument("--external-command")
+            c.add_argument("--vocabulary")
+            c.add_argument("--tiers")
         else:
             c.add_argument("--csv")
     add("compare", "before", "after", "--thresholds")
@@ -95,11 +107,13 @@ def run(a: argparse.Namespace, spark: SparkSession) -> int:
     elif c == "unicode":
         _show(unicode.findings(_texts(spark, a.inputs)), a.out)
     elif c == "transform":
-        _show(normalize.transform(_texts(spark, a.inputs), a.stages), a.out)
+        protect = spans.protection(a.edit_code, not a.edit_quotes, [k for k in (a.unprotect or "").split(",") if k])
+        make = normalize.totals if a.totals else normalize.transform
+        _show(make(_texts(spark, a.inputs), a.stages, punctuation=a.punctuation, protect=protect), a.out)
     elif c == "detect":
-        _show(_detector(a)(_texts(spark, a.inputs)), a.out)
+        _show(_detector(a, spark)(_texts(spark, a.inputs)), a.out)
     elif c == "experiment":
-        got = experiment.controls(_texts(spark, a.inputs), _detector(a), a.detector == "mock")
+        got = experiment.controls(_texts(spark, a.inputs), _detector(a, spark), a.detector == "mock")
         if a.csv:
             sinks.write_csv(got.select(*experiment.COLUMNS), a.csv)
         _show(got, a.out)

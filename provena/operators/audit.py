@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Suffixes of files that count, folders that do not, and files that name dependencies.
 SUFFIXES = ("py", "md", "txt", "toml", "cfg", "ini", "json", "yaml", "yml", "html", "sh")
 SKIPPED = (".git", "__pycache__", ".venv", "venv", "node_modules", ".pytest_cache", "build", "dist")
 DEPENDENCY_FILES = ("requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile")

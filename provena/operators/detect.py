@@ -46,10 +46,14 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+#: Characters that NFKC may change: all beyond Latin-1, and a few of its signs.
+_MAY_CHANGE = r"[^\x00-\xFF]|[\xA0\xA8\xAA\xAF\xB2-\xB5\xB8-\xBA\xBC-\xBE]"
+
+
 def scored_words(text: Column, compose: bool = True) -> Column:
-    """Lower-cased words without code blocks and format characters."""
+    """Lower-cased words without code blocks and format characters.  Only texts that NFKC may change go to Python."""
     t = F.regexp_replace(text, T.CODE_BLOCK, "")
-    t = nfkc(t) if compose else t
+    t = F.coalesce(nfkc(F.when(t.rlike(_MAY_CHANGE), t)), t) if compose else t
     return T.words(F.lower(F.translate(F.regexp_replace(t, r"\p{Cf}", ""), "’", "'")))
 
 

@@ -5,10 +5,12 @@ import sys
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provena.functions import spans as S
-from provena.operators import audit, compare, detect, experiment, inspect, normalize, spans, stats, unicode
+from provena.operators import audit, baseline, compare, detect, experiment, inspect, normalize, spans, stats, unicode
 from provena.plans.catalog import png
 from provena.sources import readers, sinks
 from provena.streaming import documents
@@ -52,6 +54,78 @@ def test_findings(spark):
     assert unicode.findings(docs(spark, "​" * 700)).count() == 500
 
 
+def test_rows_that_repeat_an_id_are_looked_at_one_by_one(spark):
+    df = spark.createDataFrame([(1, "a b. c"), (1, "a b. c"), (1, "x\u200by\u200b"), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.word_count, r.sentence_count, r.total_suspicious) for r in baseline.records(df).collect())
+    assert got == [(1, 2, 1, 2), (1, 3, 2, 0), (1, 3, 2, 0), (2, 0, 0, 0)]
+    assert [(r.doc_id, r.kind, r.n) for r in unicode.kind_counts(df).collect()] == [(1, "zero_width", 2)]
+    rows = experiment.controls(df, lambda d: detect.keyed(d, KEY)).collect()
+    assert len(rows) == 16 and sorted(r.experiment_id for r in rows) == sorted("ABCD" * 4)
+    assert sum(r.chars_changed for r in rows) == 2
+    plan = baseline.records(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_findings_say_what_is_left_out(spark):
+    got = unicode.findings(docs(spark, "\u200b" * 3 + "\n\u00a0"), most=2).orderBy("position").collect()
+    assert [(r.name, r.total_suspicious, r.findings_truncated) for r in got] == [("ZERO WIDTH SPACE", 4, True)] * 2
+    assert [(r.line, r.column, r.findings_truncated) for r in unicode.findings(docs(spark, "a\nb\u00a0")).collect()] == [(2, 2, False)]
+
+
+@pytest.mark.parametrize(
+    "mode, before, after",
+    [
+        ("typographic", "\"Hi,\" she said -- it's 'so' -- no!!", "“Hi,” she said—it’s ‘so’ -- no!"),
+        ("keep", "“Hi” – well… no!!! ok .", "“Hi” – well… no! ok ."),
+        ("normalized", "it’s “so”", "it's \"so\""),
+    ],
+)
+def test_punctuation_modes(spark, mode, before, after):
+    got = one(normalize.transform(docs(spark, before), "punctuation", punctuation=mode, protect=S.protection(quotes=False)))
+    assert got["text"] == after and all(e.metadata == {"mode": mode} for e in got["edits"])
+    with pytest.raises(ValueError):
+        normalize.transform(docs(spark, ""), "punctuation", punctuation="none")
+
+
+def test_protection(spark):
+    text = "see `a!!` and \"b!!\" at https://x.example/c!!"
+    of = lambda **k: one(normalize.transform(docs(spark, text), "punctuation", protect=S.protection(**k)))["text"]
+    assert of() == "see `a!!` and \"b!!\" at https://x.example/c!"
+    assert of(edit_code=True) == "see `a!` and \"b!!\" at https://x.example/c!"
+    assert of(quotes=False) == "see `a!!` and \"b!\" at https://x.example/c!"
+    with pytest.raises(ValueError):
+        S.protection(disabled=["nothing"])
+
+
+def test_totals(spark):
+    got = one(normalize.totals(docs(spark, "One  two!! Three."), "whitespace,punctuation"))
+    assert (got["edit_count"], got["changed_characters"], got["edit_distance"], got["changed_words"], got["changed_sentences"]) == (2, 4, 2, 0, 1)
+    assert [(s.stage, s.edit_count) for s in got["per_stage"]] == [("whitespace", 1), ("punctuation", 1)]
+    log = normalize.edit_log(normalize.transform(docs(spark, "a!!"), "punctuation")).collect()
+    assert log[0].deterministic and log[0].metadata == {"mode": "normalized"}
+
+
+def test_stable_hash(spark):
+    x = spark.createDataFrame([("a", 1)], "s string, n int").select(normalize.stable_hash_column("s", "n").alias("h")).first().h
+    assert int(x) == normalize.stable_hash("a", 1) == int.from_bytes(__import__("hashlib").sha256(b"a\x1f1").digest()[:8], "big")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc é", max_size=40), st.text("abc é", max_size=40))
+def test_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next(row, i, x, b)
+    assert compare.levenshtein(a, b) == row[-1]
+
+
+def _next(row, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+    return out
+
+
 def test_sentences(spark):
     text = "Dr. Brown paid 3.5 euros. Why? He left! J. Doe stayed\n\nA new start"
     assert [text[a:b] for a, b in S.sentence_spans(text)] == ["Dr. Brown paid 3.5 euros.", "Why?", "He left!", "J. Doe stayed", "A new start"]
