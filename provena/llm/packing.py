@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.bpe import Remembered, chunks, no_cycles, read_ranks
+from provena.llm.bpe import read_ranks
 from provena.llm.common import id_text, map_arrow, saved, table
 
 SEQUENCE = 2048
@@ -77,28 +77,20 @@ def _encoder(ranks_path: str, pattern: str):
 class IdBytes:
     """A text's ids as little-endian 32-bit integers.
 
-    The tokenizer file and the rank file hold one vocabulary; the merges run by rank, and texts that
-    name a special token go through the tokenizer file itself."""
+    The tokenizer file and the rank file hold one vocabulary; the merges run by rank over whole texts, and
+    texts that name a special token go through the tokenizer file itself."""
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
-        self.json_path, self.encode = json_path, _encoder(ranks_path, pattern).encode_ordinary
-        self.spaced = Remembered(lambda s: self.plain(" " + s))
-        self.whole = None
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
+        self.json_path, self.encode, self.whole = json_path, _encoder(ranks_path, pattern).encode_to_numpy, None
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text:
-            if self.whole is None:
-                from tokenizers import Tokenizer
+        if "<|" not in text:
+            return self.encode(text).astype("<u4", copy=False).tobytes()
+        if self.whole is None:
+            from tokenizers import Tokenizer
 
-                self.whole = Tokenizer.from_file(self.json_path)
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        cut = chunks(text)
-        if cut is None:
-            return self.plain(text)
-        return self.plain(cut[0]) + b"".join(map(self.spaced.__getitem__, cut[1:]))
+            self.whole = Tokenizer.from_file(self.json_path)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -117,13 +109,12 @@ def cut_documents(df: DataFrame, json_path: str, ranks_path: str, pattern: str,
         ids_of = _id_bytes(json_path, ranks_path, pattern)
         for b in it:
             rows: list[tuple] = []
-            with no_cycles():
-                for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                    data = ids_of(text) + end
-                    n = len(data) // 4
-                    for at in range(0, n, size):
-                        part = data[4 * at : 4 * (at + size)]
-                        rows.append((doc, at, len(part) // 4, zlib.crc32(part), n) + ((np.frombuffer(part, "<u4").astype(np.int32),) if keep_ids else ()))
+            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                data = ids_of(text) + end
+                n = len(data) // 4
+                for at in range(0, n, size):
+                    part = data[4 * at : 4 * (at + size)]
+                    rows.append((doc, at, len(part) // 4, zlib.crc32(part), n) + ((np.frombuffer(part, "<u4").astype(np.int32),) if keep_ids else ()))
             cols = list(zip(*rows, strict=True))
             out = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[5:]]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
