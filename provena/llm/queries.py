@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import licenses
+from provena.llm import licenses, oracles
 from provena.llm.bpe import op3_bpe
 from provena.llm.lm import op1_lm
 from provena.llm.minhash import op10_minhash
@@ -26,4 +26,9 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": licenses.oracle(),
+    "op5_vectors": oracles.vectors(),
+    "op9_substring": oracles.substring(),
+    "op10_minhash": oracles.minhash(),
+}
