@@ -4,13 +4,16 @@ The base kinds (assign, access, hex) are pattern matches.  Further kinds are onl
 decodes to what it claims to be:
 
 * ``jwt``: three base64url parts; header and claims are JSON objects and the header names an algorithm
-* ``pem``: an armoured key whose body is base64 of nested DER lengths that fit exactly, or an OpenSSH
-  container with its length-prefixed fields
-* ``der``: a bare base64 or hex run that decodes to such a key encoding (PKCS#1, PKCS#8, SEC1)
+* ``pem``: an armoured key whose body is base64 of nested DER lengths that fit exactly, an OpenSSH
+  container with its length-prefixed fields, or cipher blocks under headers that name cipher and IV
+* ``der``: base64 or hex, in either case, that decodes to such a key encoding (PKCS#1, PKCS#8, SEC1).
+  Base64 may be url-safe, wrapped over lines, and begin anywhere in a run: the encoding says how long it is
 * ``basic``: ``Basic`` with base64 of ``user:password`` in printable ASCII
 * ``ssh``: a base64 run that begins an OpenSSH private container
 
-Nulls count as empty texts: no span.  Rows are independent: one output row for each input row.
+Nulls count as empty texts: no span.  Rows are independent: one output row for each input row, also where
+ids repeat.  Spans of one start go by kind as listed, then by end.  Long texts are scanned whole; a
+candidate is decoded only as far as its own length says.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,9 +39,13 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
-#: The look behind comes after the first letters, which are searched for fast.
-_DER = re.compile(r"M(?<![A-Za-z0-9+/]M)[A-Za-z0-9+/]{39,}={0,2}")
+_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+#: Header lines of an encrypted key, with backslash-n for line ends where a key stands in a string.
+_HEADERS = re.compile(r"(?:\s|\\[nr])*((?:[A-Za-z][A-Za-z-]*: [^\n\\]*(?:\n|\\n))+)")
+_CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\b")
+#: Where base64 of a DER sequence of 40 to 65535 bytes can begin.
+_SEQUENCE = re.compile(r"M[C-I](?=[A-Za-z0-9+/_-]{38}|[A-Za-z0-9+/_\\\s-]{60})")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]+")
 #: Hex runs in capitals, or in both cases, that may hold a key; those in small letters are known already.
 _CAPITALS = re.compile(r"30(?<![0-9A-F]30)[0-9A-F]{78,}")
 _MIXED = re.compile(r"30(?<![0-9A-Fa-f]30)[0-9A-Fa-f]{78,}")
@@ -124,21 +131,71 @@ def signed_token(s: str) -> bool:
     return isinstance(head, dict) and isinstance(claims, dict) and isinstance(head.get("alg"), str) and (head["alg"].lower() == "none" or unbase64(parts[2], url=True) is not None and len(parts[2]) >= 16)
 
 
+def armoured(text: str) -> list[tuple[int, int]]:
+    """Armoured private keys whose body is what it claims to be."""
+    out, missing, at = [], set(), 0
+    while m := _BEGIN.search(text, at):
+        at = m.end()
+        last = f"-----END {m[1]}-----"
+        end = -1 if last in missing else text.find(last, at)
+        if end < 0:
+            missing.add(last)  # nor is it further on
+            continue
+        head = _HEADERS.match(text, at, end)
+        data = unbase64(text[head.end() if head else at : end].replace("\\n", "").replace("\\r", ""))
+        cipher = _CIPHER.search(head[1]) if head else None
+        if data and (key_kind(data) or openssh_key(data) or cipher and len(data) >= 64 and len(data) % (len(cipher[1]) // 2) == 0):
+            out.append((m.start(), end + len(last)))
+    return out
+
+
+def bare_keys(text: str) -> list[tuple[int, int]]:
+    """Base64 of a key encoding without armour, from wherever a sequence may begin, over line ends if need be."""
+    out, done = [], 0
+    for m in _SEQUENCE.finditer(text):
+        if m.start() < done:
+            continue
+        first = unbase64(re.sub(r"[\s\\].*", "", text[m.start() : m.start() + 8], flags=re.DOTALL).translate(_PLAIN_64))
+        if not first or len(first) < 5:
+            continue
+        size = {0x81: 3 + first[2], 0x82: 4 + int.from_bytes(first[2:4], "big")}.get(first[1], 2 + first[1] if first[1] < 128 else 0)
+        inner = first[{0x81: 3, 0x82: 4}.get(first[1], 2)]
+        if size < 40 or inner not in (0x02, 0x30):
+            continue
+        # so many characters hold the encoding; line ends between them do not count
+        need, have, at = -(-4 * size // 3), [], m.start()
+        while need > 0 and (run := _LONG.match(text, at, at + need)):
+            have.append(run[0])
+            need -= len(run[0])
+            at = run.end()
+            if need > 0:
+                gap = _GAP.match(text, at)
+                at = gap.end() if gap else at
+                if not gap:
+                    break
+        if need > 0:
+            continue
+        data = unbase64("".join(have).translate(_PLAIN_64))
+        if data and key_kind(data[:size]):
+            at += len(_PADDING.match(text, at)[0])
+            out.append((m.start(), at))
+            done = at
+    return out
+
+
+_GAP, _PADDING = re.compile(r"(?:\r?\n|\\r|\\n)[ \t]*"), re.compile("={0,2}")
+_PLAIN_64 = str.maketrans("-_", "+/")
+
+
 def structural_spans(text: str, hex_runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Spans that decode to key encodings or signed tokens."""
     out: list[tuple[str, int, int]] = []
     if "eyJ" in text:
         out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if signed_token(m[0])]
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = unbase64(m[2].replace("\\n", ""))
-            if data and (key_kind(data) or openssh_key(data)):
-                out.append(("pem", m.start(), m.end()))
+        out += [("pem", a, b) for a, b in armoured(text)]
     inside = lambda at: any(k == "pem" and a <= at < b for k, a, b in out)
-    for m in _DER.finditer(text):
-        data = unbase64(m[0])
-        if data and data[0] == 0x30 and key_kind(data) and not inside(m.start()):
-            out.append(("der", m.start(), m.end()))
+    out += [("der", a, b) for a, b in bare_keys(text) if not inside(a)]
     more = {m.span() for x in (_CAPITALS, _MIXED) for m in x.finditer(text)}
     for a, b in [*hex_runs, *sorted(more.difference(hex_runs))]:
         if b - a >= 80 and text.startswith("30", a) and (b - a) % 2 == 0 and key_kind(bytes.fromhex(text[a:b])):

@@ -279,6 +279,17 @@ def test_bpe_equals_the_library(text):
     assert c.decode(c.encode(text)).decode("utf-8", "replace") == text.encode("utf-8", "replace").decode()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abcé xyz.,'\n0123日", max_size=30), max_size=12))
+def test_bpe_of_many_texts_at_once(rows):
+    import tiktoken
+
+    c = bpe.coder(RANKS, P.PATTERN)
+    lib = tiktoken.Encoding("lib", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    ids, n = c.encode_many(rows)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode_ordinary(t) for t in rows] if rows else len(ids) == 0
+
+
 def test_bpe_of_random_merge_tables():
     """Tables in which greedy longest matches often fail."""
     rng = np.random.default_rng(3)
@@ -502,7 +513,23 @@ def test_short_keys_and_hex_in_capitals():
     assert len(key) == 51 and b64.startswith("MD") and secrets.key_kind(key) == "sec1"
     for t in (b64, key.hex().upper(), key.hex(), key.hex()[:9] + key.hex()[9:].upper()):
         assert [s for s in secrets.scan(pa.array([f"é a {t} b"]))[0] if s[0] == "der"] == [("der", 4, 4 + len(t))]
-    assert not [s for s in secrets.scan(pa.array([f"x{b64} A{key.hex().upper()} {key.hex().upper()}00"]))[0] if s[0] == "der"]
+    assert not [s for s in secrets.scan(pa.array([f"A{key.hex().upper()} {key.hex().upper()}00 {b64[:-4]}"]))[0] if s[0] == "der"]
+
+
+def test_keys_that_are_wrapped_or_stand_after_something():
+    key = der((0x30, der((2, b"\0"), *[(2, b"\7" * 70)] * 8)))
+    b64, url = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode()
+    wrapped = "\r\n   ".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.structural_spans(t, [])]
+    for t in (b64, url, wrapped, wrapped.replace("\r\n   ", "\\n")):
+        for before, after in (("/", "."), ("key=", "\nmore text"), ("x", "")):
+            assert found(before + t + after) == [("der", t)], (before, t[:80])
+    assert not found(b64[:-30]) and not found("M" * 5000 + "MII" * 3000)
+    body = base64.b64encode(bytes(range(160))).decode()
+    head = "-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n{}\n-----END EC PRIVATE KEY-----"
+    assert [k for k, _ in found(head.format("0123456789ABCDEF0123456789ABCDEF", body))] == ["pem"]
+    assert not found(head.format("0123", body)) and not found(head.format("0123456789ABCDEF0123456789ABCDEF", body[:60] + "A" * 8))
+    assert not found("-----BEGIN PRIVATE KEY-----" * 2000)
 
 
 @settings(max_examples=150, deadline=None)
@@ -708,6 +735,13 @@ def test_full_bitmaps_and_blocks_change_nothing(spark):
         assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == brute_substring(rows)
 
 
+def test_shared_fingerprints_without_a_repeated_window(spark):
+    phrase = " ".join(f"p{k}" for k in range(12))
+    rows = [" ".join([*(f"a{i}.{k}" for k in range(15)), phrase, *(f"b{i}.{k}" for k in range(15))]) for i in range(40)]
+    got = substring.remove_repeats(common.id_text(frame(spark, rows)), digest_rows(), DIGEST_ROWS).collect()
+    assert [r.n_removed for r in got] == [0] * 40
+
+
 def test_rows_without_ids_and_with_repeated_ids(spark):
     passage = " ".join(f"w{k}" for k in range(30))
     none = spark.createDataFrame([(None, passage), (None, passage), (None, None)], "doc_id long, text string")
