@@ -41,17 +41,11 @@ def _show(df: DataFrame, out: str | None) -> None:
 
 
 def _detector(a: argparse.Namespace, spark: SparkSession):
-    if a.detector == "keyed":
-        if not a.key:
-            raise ValueError("the keyed detector needs --key")
-        words = None
-        if getattr(a, "vocabulary", None):
-            tiers = tuple(t for t in (a.tiers or "").split(",") if t)
-            words = [r.word for r in readers.vocabulary(spark, a.vocabulary, tiers).collect()]
-        return lambda d: detect.keyed(d, a.key.encode(), a.gamma, vocabulary=words)
-    if a.detector == "external":
-        return lambda d: detect.external(d, command=a.external_command)
-    return {"none": detect.no_detector, "mock": detect.mock}[a.detector]
+    words = None
+    if getattr(a, "vocabulary", None):
+        tiers = tuple(t for t in (a.tiers or "").split(",") if t)
+        words = [r.word for r in readers.vocabulary(spark, a.vocabulary, tiers).collect()]
+    return detect.make(a.detector, (a.key or "").encode(), a.gamma, words, command=getattr(a, "external_command", None))
 
 
 def _pairs(spark: SparkSession, before: str, after: str) -> DataFrame:
@@ -93,7 +87,9 @@ def parser() -> argparse.ArgumentParser:
     add("compare", "before", "after", "--thresholds")
     add("inspect-file", inputs="+")
     add("compare-files", "before", "after")
-    add("corpus").add_argument("--paragraphs", type=int, default=100)
+    c = add("corpus")
+    c.add_argument("--paragraphs", type=int, default=100)
+    c.add_argument("--named", action="store_true")
     add("audit-static", "root")
     add("search-results", "responses")
     add("current-date")
@@ -127,7 +123,7 @@ def run(a: argparse.Namespace, spark: SparkSession) -> int:
         paths = [spark.read.format("binaryFile").load(p).select("path").first().path for p in (a.before, a.after)]
         _show(inspect.persistence(spark.createDataFrame([tuple(paths)], "before string, after string"), inspect.scan(files)), a.out)
     elif c == "corpus":
-        _show(readers.template_prose(spark, a.paragraphs), a.out)
+        _show(readers.named_corpus(spark) if a.named else readers.template_prose(spark, a.paragraphs), a.out)
     elif c == "audit-static":
         got = audit.audit(audit.read_tree(spark, a.root)).cache()
         _show(got, a.out)

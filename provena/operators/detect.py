@@ -144,6 +144,19 @@ def external(df: DataFrame, plugin=None, command: str | None = None, timeout: fl
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), T.whole("text").alias("text")).mapInPandas(run, RESULT)
 
 
+def make(name: str, key: bytes | None = None, gamma: float = 0.5, vocabulary: list[str] | None = None, plugin=None, command: str | None = None):
+    """A detector by name (none, mock, keyed, external) as a function of documents; wrong use is an error."""
+    if name == "keyed":
+        if not key:
+            raise ValueError("the keyed detector needs a key")
+        return lambda d: keyed(d, key, gamma, vocabulary=vocabulary)
+    if name == "external":
+        return lambda d: external(d, plugin, command)
+    if name not in ("none", "mock"):
+        raise ValueError(f"unknown detector {name!r}; detectors: none, mock, keyed, external")
+    return no_detector if name == "none" else mock
+
+
 def keyed_python(df: DataFrame, key: bytes, gamma: float = 0.5) -> DataFrame:
     """green_counts with the key only in the closure of the workers."""
     from provena.functions.spans import PATTERNS, WORD

@@ -185,6 +185,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clock": lambda spark, _: readers.clock(spark),
     "inspect_files": _inspect,
     "static_audit": _audit,
+    "audit_terms": lambda spark, d: audit.term_counts(_audit(spark, d)),
+    "named_corpus": lambda spark, _: stats.counts(readers.named_corpus(spark)),
 }
 
 _WS = T.WS
@@ -369,6 +371,7 @@ SELECT doc_id, CASE WHEN len(w) >= 50 THEN round(list_sum(list_transform(range(1
     "detect_planted": _keyed_sql(KEY, text=_composed_sql(), table=f"({_planted_sql()})"),
     "detect_vocabulary": _keyed_sql(KEY, vocabulary=VOCABULARY),
     "inspect_files": "SELECT * FROM (VALUES ('plain.png', 'png', 67, 'ABSENT', 'no credential bytes'), ('marked.png', 'png', 95, 'UNVERIFIABLE', 'credential bytes, but no reader of manifests'), ('text.png', 'png', 115, 'UNVERIFIABLE', 'a remote manifest is named; not fetched'), ('x.pdf', 'pdf', 23, 'UNVERIFIABLE', 'credential bytes, but no reader of manifests')) t(path, format, size_bytes, status, reason)",
+    "audit_terms": "SELECT * FROM (VALUES ('torch', 2), ('jax', 1), ('spacy', 1)) t(item, n)",
     "static_audit": "SELECT * FROM (VALUES ('a.py', 2, 'forbidden_import', 'torch'), ('a.py', 3, 'forbidden_import', 'jax.numpy'), ('requirements.txt', 2, 'forbidden_dependency', 'spacy'), ('a.py', 2, 'reference', 'torch'), ('a.py', 3, 'reference', 'jax'), ('a.py', 4, 'reference', 'torch'), ('requirements.txt', 2, 'reference', 'spacy')) t(path, line, kind, item)",
     "detect_mock": "SELECT doc_id, score >= 0.5 AS detected, score, round(1 - score, 6) AS p_value, NULL::DOUBLE AS confidence, 'mock' AS detector_name, 'UNKNOWN' AS status FROM (SELECT doc_id, round(('0x' || substr(sha256(coalesce(text, '')), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0, 6) AS score FROM documents)",
     "detect_none": "SELECT doc_id, NULL::BOOLEAN AS detected, NULL::DOUBLE AS score, NULL::DOUBLE AS p_value, NULL::DOUBLE AS confidence, 'none' AS detector_name, 'UNKNOWN' AS status FROM documents",

@@ -105,6 +105,31 @@ def test_totals(spark):
     assert log[0].deterministic and log[0].metadata == {"mode": "normalized"}
 
 
+def test_named_corpus_and_blank_queries(spark):
+    got = {r.name: r.text for r in readers.named_corpus(spark).collect()}
+    assert len(got) == 10 and all(got.values()) and got["long_prose"].count("\n\n") == 4
+    assert {k for *_, k in S.protected_spans(got["technical_markdown"])} >= {"url", "email", "inline_code"}
+    blank = spark.createDataFrame([(" ", "{}")], "query string, body string")
+    assert readers.search_results(blank).count() == 0
+    with pytest.raises(Exception, match="must not be blank"):
+        readers.search_results(blank, blank_fails=True).collect()
+
+
+def test_manifest_readers(spark):
+    files = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b""))], "path string, content binary")
+    assert {r.error for r in inspect.verify(files).collect()} == {"no reader of manifests is installed"}
+
+    def reader():
+        return lambda data: {"sdk": "own", "validation_state": "valid", "body": f"{1 / len(data)}"}
+
+    got = {r.path: r for r in inspect.verify(files, reader).collect()}
+    assert got["a"].validation_state == "valid" and got["b"].error_type == "ZeroDivisionError"
+    with pytest.raises(ValueError):
+        detect.make("other")
+    with pytest.raises(ValueError):
+        detect.make("keyed")
+
+
 def test_stable_hash(spark):
     x = spark.createDataFrame([("a", 1)], "s string, n int").select(normalize.stable_hash_column("s", "n").alias("h")).first().h
     assert int(x) == normalize.stable_hash("a", 1) == int.from_bytes(__import__("hashlib").sha256(b"a\x1f1").digest()[:8], "big")
