@@ -13,7 +13,8 @@ template, each run of as many words as the template has that starts with one of
 across lines and without a limit on the length of the text.
 
 Returns one row for each document with a match: its licences, sorted, the best one, and its score.
-Null and empty texts, and units of one word, match nothing.  Ties go to the name that sorts first.
+Null and empty texts, and units of one word, match nothing.  Ties go to the name that sorts first.  Rows
+that repeat an id give a row each.  Long texts are cut and compared whole.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -128,8 +129,17 @@ def _in_windows(words: Column, least: float, templates) -> Column:
     return _let(_consecutive(words), lambda g: F.flatten(F.transform(_let(F.array_intersect(g, every), possible), lambda t: within(g, t))))
 
 
-def find_licenses(df: DataFrame, least: float = LEAST, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", windows: bool = False) -> DataFrame:
-    """doc_id, licenses (array), best, dice of every row that has one."""
+def read_templates(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """(name, text) of each file: whole licence texts, as systems keep them in a folder.  They go into the plan."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("name"), "value").collect()
+    return tuple(sorted((r.name, r.value) for r in rows))
+
+
+def find_licenses(df: DataFrame, least: float = LEAST, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", windows: bool = False, whole=()) -> DataFrame:
+    """doc_id, licenses (array), best, dice of every row that has one.
+
+    whole: further templates, of whole licence texts, which no windows are made for."""
+    inner_templates, templates = templates, (*templates, *whole)
     known = [(name, g, len(g)) for name, text in templates if (g := bigrams(_words(text)))]
     literal = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(k).alias("size")) for n, g, k in known])
     fewest, most = bounds(templates, least)
@@ -155,7 +165,7 @@ def find_licenses(df: DataFrame, least: float = LEAST, templates=TEMPLATES, id_c
 
     matches = lambda m: m["score"] <= -least
     flat = F.split(F.trim(F.regexp_replace("normal", "[ \n]+", " ")), " ")
-    inner = F.filter(_in_windows(flat, least, templates), matches) if windows else F.array().cast("array<struct<score:double,name:string>>")
+    inner = F.filter(_in_windows(flat, least, inner_templates), matches) if windows else F.array().cast("array<struct<score:double,name:string>>")
     rows = rows.select("doc_id", units.alias("units"), inner.alias("inner")).filter((F.size("units") > 0) | F.lit(windows))
     rows = rows.select("doc_id", "inner", F.transform("units", lambda u: F.split(u, " ")).alias("words"))
     rows = rows.select("doc_id", "inner", F.transform("words", pairs).alias("grams"))
