@@ -171,6 +171,7 @@ def small_batches(spark: SparkSession) -> None:
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))  # else 4096 texts at once on the heap
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,8 +281,10 @@ def in_bitmap(flat: np.ndarray, place: pa.Array) -> np.ndarray:
     return (flat[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
 
 
-def shuffles(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Through Spark's own file systems, so wherever the folder is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import MOST_BITS, few_files, free_name, id_text, map_arrow, mix, packed, power_of_two, saved, shared_dir, span_hashes, table, text_buffer, unpacked, window_hashes, window_mask, word_hashes
+from provena.llm.common import MOST_BITS, delete_folder, few_files, free_name, id_text, map_arrow, mix, packed, power_of_two, saved, shared_dir, span_hashes, table, text_buffer, unpacked, window_hashes, window_mask, word_hashes
 
 WINDOW, GRAM, FANOUT = 20, 8, 2
 #: Entries that a task holds before it hands them on.
@@ -142,10 +142,12 @@ def _windows(texts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.nd
 
 
 def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """All windows of each task: keys (sorted fingerprints), counts of windows of each, and their hashes."""
+    """All windows of each task: keys (sorted fingerprints), whether each is at several places there, the number of
+    windows of each, and their hashes."""
 
     def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        f, h = (np.concatenate([x[k] for x in held]) for k in range(2))
+        f, h, places = (np.concatenate([x[k] for x in held]) for k in range(3))
+        _, twice = _count_sorted(np.sort(places))
         order = np.lexsort((h, f))
         f, h = f[order], h[order]
         new = np.r_[True, (f[1:] != f[:-1]) | (h[1:] != h[:-1])]
@@ -154,21 +156,40 @@ def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
         ends = np.r_[at, len(f)]
         for i in range(0, len(at), 1 << 14):  # rows of some hundred kilobytes
             mine = ends[i : i + (1 << 14) + 1]
-            yield pa.RecordBatch.from_arrays([pa.array([packed(f[mine[:-1]], rising=True)], pa.binary()), pa.array([packed(np.diff(mine).astype(np.uint32))], pa.binary()), pa.array([packed(h[mine[0] : mine[-1]], 6)], pa.binary())], ["keys", "counts", "hashes"])
+            blobs = (zlib.compress(packed(f[mine[:-1]], rising=True), 1), np.packbits(twice[i : i + len(mine) - 1]).tobytes(), zlib.compress(packed(np.diff(mine).astype(np.uint32)), 1), packed(h[mine[0] : mine[-1]], 6))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["keys", "twice", "counts", "hashes"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in it:
-            f, h, *_ = _windows(b["text"], window, gram)
-            held.append((f, h))
-            n += len(f)
+            h, woff, *_ = word_hashes(b["text"])
+            if len(h) < window:
+                continue
+            g, m, ok = window_minima(h, woff, window, gram)
+            at = np.flatnonzero(ok)
+            held.append((mix(m[at]), window_hashes(h, window, salt=2)[at] & _LOW48, selected(g, m, ok, window - gram + 1)))
+            n += len(at)
             if n >= FLUSH:
                 yield from out(held)
                 held, n = [], 0
         if n:
             yield from out(held)
 
-    return map_arrow(docs, run, "keys binary, counts binary, hashes binary")
+    return map_arrow(docs, run, "keys binary, twice binary, counts binary, hashes binary")
+
+
+def keys_of_segments(rows: DataFrame, buckets: int) -> DataFrame:
+    """What fingerprints() gives, from stored segments instead of texts."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for blob, bits in zip(b["keys"].to_pylist(), b["twice"].to_pylist(), strict=True):
+                keys = unpacked(zlib.decompress(blob), np.uint64, rising=True)
+                twice = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(keys)).astype(bool)
+                cut = _buckets(keys, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in cut], pa.int32()), pa.array([packed(keys[i:j], rising=True) for _, i, j in cut], pa.binary()), pa.array([np.packbits(twice[i:j]).tobytes() for _, i, j in cut], pa.binary())], ["bucket", "keys", "twice"])
+
+    return map_arrow(rows.select("keys", "twice"), run, "bucket int, keys binary, twice binary")
 
 
 def shared_bitmap(shared: DataFrame, buckets: int, most: int = MAX_BITMAP) -> tuple[np.ndarray, int]:
@@ -265,7 +286,7 @@ def stored_windows(rows: DataFrame, bitmap, shift: int, buckets: int) -> DataFra
         bits = bitmap.value
         for b in it:
             for keys, counts, hashes in zip(*(b[c].to_pylist() for c in ("keys", "counts", "hashes")), strict=True):
-                f, n = unpacked(keys, np.uint64, rising=True), unpacked(counts, np.uint32)
+                f, n = unpacked(zlib.decompress(keys), np.uint64, rising=True), unpacked(zlib.decompress(counts), np.uint32)
                 hit = _shared(bits, f, shift)
                 if not hit.any():
                     continue
@@ -273,7 +294,7 @@ def stored_windows(rows: DataFrame, bitmap, shift: int, buckets: int) -> DataFra
                 order = np.argsort(k)
                 yield from _cand_rows(_HISTORY, buckets, k[order], k[order], c[order])
 
-    return map_arrow(rows, run, _CAND)
+    return map_arrow(rows.select("keys", "counts", "hashes"), run, _CAND)
 
 
 def block_of(doc, blocks: int):
@@ -310,7 +331,7 @@ def removed_windows(cands: DataFrame, blocks: int) -> DataFrame:
         order = np.lexsort((pos, doc, block))
         block, doc, pos = block[order], doc[order], pos[order]
         have, at = np.unique(block, return_index=True)
-        cut = list(zip(at.tolist(), [*at[1:].tolist(), len(block)], strict=True))
+        cut = list(zip(at.tolist(), [*at[1:].tolist(), len(block)], strict=False))  # none if nothing goes
         blobs = lambda x: pa.array([zlib.compress(packed(x[i:j]), 1) for i, j in cut], pa.binary())
         return pa.table({"block": pa.array(have, pa.int64()), "docs": blobs(doc), "pos": blobs(pos)})
 
@@ -361,13 +382,15 @@ class SubstringIndex:
         return self.spark.read.parquet(*[f"{self.path}/{name}" for name in names])
 
     def _delete(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        delete_folder(self.spark, f"{self.path}/{name}".rstrip("/"))
+
+    def _write(self, df: DataFrame, name: str) -> None:
+        # the blobs are compressed already, or cannot be
+        few_files(df).write.option("compression", "uncompressed").parquet(f"{self.path}/{name}")
 
-    def merged(self, docs: DataFrame, keep: bool) -> DataFrame:
-        """bucket, the batch's sorted fingerprints (if kept), and those that are shared."""
-        rows = fingerprints(docs, self.buckets, self.window, self.gram).withColumn("run", F.lit(-1))
+    def merged(self, new: DataFrame, keep: bool) -> DataFrame:
+        """bucket, the batch's sorted fingerprints (if kept), and those that are shared.  new: as fingerprints() gives it."""
+        rows = new.withColumn("run", F.lit(-1))
         for k, (keys, _) in enumerate(r for level in self.levels for r in level):
             rows = rows.unionByName(self._read([keys]).select("bucket", "keys", F.lit(None).cast("binary").alias("twice"), F.lit(k).alias("run")))
 
@@ -380,11 +403,11 @@ class SubstringIndex:
             run, again = _count_sorted(np.sort(k))
             again[np.searchsorted(run, k[more])] = True
             for i in np.flatnonzero(runs >= 0).tolist():  # each run is sorted: a merge join by binary search
-                old = unpacked(keys[i], np.uint64, rising=True)
+                old = unpacked(zlib.decompress(keys[i]), np.uint64, rising=True)
                 at = np.searchsorted(old, run)
                 at[at == len(old)] = 0
                 again |= old[at] == run if len(old) else False
-            return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "keys": pa.array([packed(run, rising=True) if keep else b""], pa.binary()), "shared": pa.array([packed(run[again], rising=True)], pa.binary())})
+            return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "keys": pa.array([zlib.compress(packed(run, rising=True), 1) if keep else b""], pa.binary()), "shared": pa.array([packed(run[again], rising=True)], pa.binary())})
 
         return rows.groupBy("bucket").applyInArrow(join, "bucket int, keys binary, shared binary")
 
@@ -393,12 +416,13 @@ class SubstringIndex:
 
         All documents in the index count as earlier.  docs become a run, unless keep is false.  tagged: whether
         an id may come more than once; places then have a hash of the text above their 32 low bits."""
-        name, got = f"run-{uuid.uuid4().hex}", self.merged(docs, keep)
+        name = f"run-{uuid.uuid4().hex}"
         if keep:
-            few_files(got).write.parquet(f"{self.path}/{name}/keys")
+            self._write(segments(docs, self.window, self.gram), f"{name}/windows")
+            self._write(self.merged(keys_of_segments(self._read([f"{name}/windows"]), self.buckets), True), f"{name}/keys")
             got = self._read([f"{name}/keys"])
         else:
-            got = saved(got)
+            got = saved(self.merged(fingerprints(docs, self.buckets, self.window, self.gram), False))
         flat, shift = shared_bitmap(got.select("bucket", "shared"), self.buckets, most_bits)
         gone = None
         if flat.any():
@@ -410,7 +434,6 @@ class SubstringIndex:
             gone = saved(removed_windows(cands, blocks))
             held.unpersist()
         if keep:
-            few_files(segments(docs, self.window, self.gram)).write.parquet(f"{self.path}/{name}/windows")
             self._level(0).append((f"{name}/keys", [f"{name}/windows"]))
             replaced = self._compact()
             self._commit()
@@ -425,7 +448,7 @@ class SubstringIndex:
             full = self.levels[k]
             if len(full) >= self.fanout:
                 name = f"run-{uuid.uuid4().hex}/keys"
-                few_files(self._read([keys for keys, _ in full]).select("bucket", "keys").groupBy("bucket").applyInArrow(self._one, "bucket int, keys binary")).write.parquet(f"{self.path}/{name}")
+                self._write(self._read([keys for keys, _ in full]).select("bucket", "keys").groupBy("bucket").applyInArrow(self._one, "bucket int, keys binary"), name)
                 replaced += [keys for keys, _ in full]
                 self.levels[k] = []
                 self._level(k + 1).append((name, [x for _, names in full for x in names]))
@@ -434,8 +457,8 @@ class SubstringIndex:
 
     @staticmethod
     def _one(t: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([unpacked(x, np.uint64, rising=True) for x in t["keys"].to_pylist()]))
-        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "keys": pa.array([packed(keys, rising=True)], pa.binary())})
+        keys = np.unique(np.concatenate([unpacked(zlib.decompress(x), np.uint64, rising=True) for x in t["keys"].to_pylist()]))
+        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "keys": pa.array([zlib.compress(packed(keys, rising=True), 1)], pa.binary())})
 
 
 def kept_words(text: bytes, starts: np.ndarray, window: int) -> tuple[int, int, bytes]:
