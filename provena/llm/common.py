@@ -251,15 +251,17 @@ def shared_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(told)
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """df in at most four partitions a core, so that a write does not make thousands of small files."""
-    return df.coalesce(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism))
+def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df in at most four partitions a core, and one for each 50,000 rows if their number is known, so that a
+    write does not make thousands of small files."""
+    most = max(16, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(most if rows is None else min(most, 1 + rows // 50_000))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as files in the shared folder; survives lost executors."""
+def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, computed once and kept as files in the shared folder; survives lost executors.  rows: about how many, if known."""
     shared_dir(df.sparkSession)
-    return few_files(df).checkpoint(eager=True)
+    return few_files(df, rows).checkpoint(eager=True)
 
 
 def id_bitmap(wanted: DataFrame, most: int = MOST_BITS):

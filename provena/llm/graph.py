@@ -62,6 +62,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = told
         stars = _small_star(_large_star(now))
-        now = saved(stars.filter("a <> b").groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b"))
+        now = saved(stars.filter("a <> b").groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b"), told.n)
     # every node hangs on its smallest: a > b
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
