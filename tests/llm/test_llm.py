@@ -491,6 +491,13 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_without_ids_and_with_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0]), (7, [2.0, 0.0]), (7, [0.0, 1.0]), (9, [1.0, 0.1]), (None, [0.0, -1.0]), (8, [0.0, 3.0])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    told = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got)
+    assert told == [(0, 0, 0, False), (0, 2, 0, False), (7, 1, 7, True), (7, 2, 7, True), (8, 1, 7, False), (9, 2, 7, False)]
+
+
 # 6
 
 
