@@ -18,8 +18,11 @@ CODE_BLOCK = r"(?ms)^[ \t]*(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\z)"
 #: General categories, fixed by Unicode; unassigned code points have no class in every engine.
 CATEGORIES = ("Cc", "Cf", "Co", "Cs", "Ll", "Lm", "Lo", "Lt", "Lu", "Mc", "Me", "Mn", "Nd", "Nl", "No", "Pc", "Pd", "Pe", "Pf", "Pi", "Po", "Ps", "Sc", "Sk", "Sm", "So", "Zl", "Zp", "Zs")
 
-#: Those that ASCII characters have.
-ASCII_CATEGORIES = ("Cc", "Ll", "Lu", "Nd", "Pc", "Pd", "Pe", "Po", "Ps", "Sc", "Sk", "Sm", "Zs")
+#: Those that ASCII characters have, as character classes.
+ASCII_CATEGORIES = {
+    "Cc": r"[\x00-\x1F\x7F]", "Ll": "[a-z]", "Lu": "[A-Z]", "Nd": "[0-9]", "Pc": "_", "Pd": "-", "Pe": r"[)\]}]", "Po": r"[!\"#%&'*,./:;?@\\]",
+    "Ps": r"[(\[{]", "Sc": r"[$]", "Sk": r"[\^`]", "Sm": "[+<=>|~]", "Zs": " ",
+}
 
 
 def whole(text: Column | str) -> Column:
