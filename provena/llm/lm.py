@@ -1,8 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The model has words, pairs and triples.  Pairs and triples enter with a count of at least ``LEAST``, the
-usual cut-off; all are counted.  A count is kept as its level, floor(log2 c), and stands for the mean
-of the counts of that level.  The filter holds (n-gram, 1) .. (n-gram, level); a query probes level after
+The model has words, pairs and triples.  Pairs and triples enter with a count of at least ``least``: 1 in
+op1_lm, so all of them; ``LEAST`` if fit() is not told.  A count is kept as its level, by its power of two,
+and stands for the mean of the counts of that level.  The filter holds (n-gram, 1) .. (n-gram, level); a query probes level after
 level until one is missing, so a count is found by repeated membership probes and only errs upwards.
 An entry is four bits in each of two words of 64 bits, so a probe reads two places.
 
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from provena.llm.common import id_text, map_arrow, mix, packed, power_of_two, saved, table, unpacked, word_hashes
 
-LEAST = 2  # count from which pairs and triples enter
+LEAST = 2  # count from which pairs and triples enter, unless fit() is told another
 BITS = 20  # of the filter for each entry
 MAX_BROADCAST = 256 << 20
 FLUSH = 1 << 20
@@ -82,14 +82,14 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(h * _PAIR + w)
 
 
-def level(count: np.ndarray) -> np.ndarray:
-    """0 below LEAST, then floor(log2 count)."""
-    return np.where(count >= LEAST, np.frexp(np.maximum(count, 1).astype(np.float64))[1] - 1, 0).astype(np.int64)
+def level(count: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """0 below ``least``, 1 or 2, then from 1 on a level for each power of 2: floor(log2 count), or one more with 1."""
+    return np.where(count >= least, np.frexp(np.maximum(count, 1).astype(np.float64))[1] + 1 - least, 0).astype(np.int64)
 
 
-def middle(lv: np.ndarray) -> np.ndarray:
+def middle(lv: np.ndarray, least: int = LEAST) -> np.ndarray:
     """The mean count of a level."""
-    return np.where(lv > 0, 1.5 * np.exp2(lv) - 0.5, 0.0)
+    return np.where(lv > 0, 1.5 * np.exp2(lv + (least - 2)) - 0.5, 0.0)
 
 
 def entry(key: np.ndarray, lv: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def gather_words(docs: DataFrame, layout: Layout) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(build, "bucket int, n_tokens long, n_types long, words binary, counts binary")
 
 
-def gather_grams(docs: DataFrame, layout: Layout, pairs=None, bits: int = BITS) -> DataFrame:
+def gather_grams(docs: DataFrame, layout: Layout, pairs=None, bits: int = BITS, least: int = LEAST) -> DataFrame:
     """Of each bucket its slice of the filter over kept n-grams and contexts, and heads: contexts with s and t.
 
     pairs: None for pairs; for triples a broadcast LogFilter of pairs, whose empty slices let all through."""
@@ -288,13 +288,13 @@ def gather_grams(docs: DataFrame, layout: Layout, pairs=None, bits: int = BITS)
         context, rest, n = context[order], rest[order], n[order]
         at = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (rest[1:] != rest[:-1])])
         n = np.add.reduceat(n, at)
-        at, n = at[n >= LEAST], n[n >= LEAST]
+        at, n = at[n >= least], n[n >= least]
         spread = each("spread", lambda x, k: np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool))[order][at]
-        context, rest, lv = context[at], rest[at], level(n)
+        context, rest, lv = context[at], rest[at], level(n, least)
         by = np.argsort(context, kind="stable")
         heads = np.flatnonzero(np.r_[True, context[by][1:] != context[by][:-1]]) if len(by) else _NO_COUNTS
         types = np.diff(np.r_[heads, len(by)])
-        sums = np.add.reduceat(middle(lv[by]), heads) if len(heads) else np.zeros(0)
+        sums = np.add.reduceat(middle(lv[by], least), heads) if len(heads) else np.zeros(0)
         lone = (types == 1) & ~spread[by][heads]
         one, one_level, more = context[by][heads][lone], lv[by][heads][lone], heads[~lone]
         key = gram_key(context, rest)
@@ -314,8 +314,8 @@ def in_buckets(df: DataFrame, buckets: list[int]) -> DataFrame:
 class Grams:
     """Pairs or triples of some buckets: the filter and the contexts beside it."""
 
-    def __init__(self, part: DataFrame, layout: Layout):
-        self.layout = layout
+    def __init__(self, part: DataFrame, layout: Layout, least: int = LEAST):
+        self.layout, self.least = layout, least
         sizes = part.select("bucket", F.length("bits").alias("n")).collect()
         self.filter = LogFilter({r.bucket: r.n for r in sizes if r.n}, layout.buckets)
         heads, s, t = [_NO_KEYS], [np.zeros(0)], [np.zeros(0, np.uint32)]
@@ -330,7 +330,7 @@ class Grams:
     def contexts(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """s and t of each context, 0 if it has no kept follower here."""
         lv = self.filter.contexts(key, self.layout.base(key))
-        s, t = middle(lv), (lv > 0).astype(np.float64)
+        s, t = middle(lv, self.least), (lv > 0).astype(np.float64)
         if len(self.heads):
             at = np.minimum(np.searchsorted(self.heads, key), len(self.heads) - 1)
             hit = self.heads[at] == key
@@ -339,7 +339,7 @@ class Grams:
 
     def means(self, context: np.ndarray, word: np.ndarray, split: np.ndarray) -> np.ndarray:
         rest = rest_of(context, word)
-        return middle(self.filter.levels(gram_key(context, rest), self.layout.bucket(context, rest, split)))
+        return middle(self.filter.levels(gram_key(context, rest), self.layout.bucket(context, rest, split)), self.least)
 
 
 class Words:
@@ -401,11 +401,12 @@ _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 class LogFrequencyModel:
     """Built by fit(); score() gives one row for each document."""
 
-    def __init__(self, spark: SparkSession, parts: tuple[DataFrame, DataFrame, DataFrame], layout: Layout, n: int, v: int):
-        self.spark, self.parts, self.layout, self.n, self.v = spark, parts, layout, n, v
+    def __init__(self, spark: SparkSession, parts: tuple[DataFrame, DataFrame, DataFrame], layout: Layout, n: int, v: int, least: int = LEAST):
+        self.spark, self.parts, self.layout, self.n, self.v, self.least = spark, parts, layout, n, v, least
 
     @classmethod
-    def fit(cls, docs: DataFrame, bits: int = BITS, bucket_bytes: int = BUCKET_BYTES, max_broadcast: int = MAX_BROADCAST) -> LogFrequencyModel:
+    def fit(cls, docs: DataFrame, bits: int = BITS, bucket_bytes: int = BUCKET_BYTES, max_broadcast: int = MAX_BROADCAST, least: int = LEAST) -> LogFrequencyModel:
+        """least: 1 for all pairs and triples, 2 to leave out those that occur once."""
         spark = docs.sparkSession
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
         buckets = power_of_two(max(4, size >> bucket_bytes))
@@ -421,10 +422,12 @@ class LogFrequencyModel:
         # fewer than ``buckets`` words can have a bucket's share of the tokens
         hot = sorted((r.word % (1 << 64), r.n) for r in words.mapInArrow(frequent, "word long, n long").collect())
         layout = Layout(buckets, np.array([h for h, _ in hot], np.uint64), np.array([c for _, c in hot], np.int64), n)
-        pairs = saved(gather_grams(docs, layout, None, bits))
-        model = cls(spark, (words, pairs, pairs.limit(0)), layout, n, v)
-        known = spark.sparkContext.broadcast(Grams(in_buckets(pairs, model._portions(max_broadcast)[0]), layout).filter)
-        model.parts = (words, pairs, saved(gather_grams(docs, layout, known, bits)))
+        pairs = saved(gather_grams(docs, layout, None, bits, least))
+        model = cls(spark, (words, pairs, pairs.limit(0)), layout, n, v, least)
+        # all pairs of a triple are kept with 1: a filter without slices lets all through
+        sifting = in_buckets(pairs, model._portions(max_broadcast)[0] if least > 1 else [])
+        known = spark.sparkContext.broadcast(Grams(sifting, layout, least).filter)
+        model.parts = (words, pairs, saved(gather_grams(docs, layout, known, bits, least)))
         known.unpersist()
         return model
 
@@ -445,8 +448,8 @@ class LogFrequencyModel:
         """The parts of a portion one after the other: the driver holds one at a time."""
         words, pairs, triples = (in_buckets(p, buckets) for p in self.parts)
         yield Words(words)
-        yield Grams(pairs, self.layout)
-        yield Grams(triples, self.layout)
+        yield Grams(pairs, self.layout, self.least)
+        yield Grams(triples, self.layout, self.least)
 
     def _portion(self, buckets: list[int]) -> Portion:
         return Portion(*self._read(buckets))
@@ -511,4 +514,4 @@ def _scored(b, off: np.ndarray, known: np.ndarray, n: int, v: int) -> pa.RecordB
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_text(table(spark, sf_dir, "documents"))
-    return LogFrequencyModel.fit(docs.filter(~held_out(F.col("doc_id")))).score(docs)
+    return LogFrequencyModel.fit(docs.filter(~held_out(F.col("doc_id"))), least=1).score(docs)

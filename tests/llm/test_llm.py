@@ -166,6 +166,41 @@ def test_language_model(spark, bucket_bytes):
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
+class WholeModel(BruteModel):
+    """BruteModel with what occurs once, too."""
+
+    def __init__(self, train):
+        super().__init__(train)
+        toks = [[*words(lower(t)), None] for t in train]
+        pairs = Counter((p, w) for ws in toks for p, w in zip([None, *ws], ws, strict=False))
+        triples = Counter(((o, p), w) for ws in toks for o, p, w in zip([None, *ws], ws, ws[1:], strict=False))
+        for (h, w), k in [*pairs.items(), *triples.items()]:
+            if k == 1:
+                self.m[h, w] = 1
+                self.s[h] += 1
+                self.t[h] += 1
+
+
+@pytest.mark.parametrize("bucket_bytes", [lm.BUCKET_BYTES, 9])
+def test_language_model_with_what_occurs_once(spark, bucket_bytes):
+    assert lm.level(np.array([0, 1, 2, 3, 4, 7, 8]), 1).tolist() == [0, 1, 2, 2, 3, 3, 4]
+    assert lm.middle(np.array([0, 1, 2, 3]), 1).tolist() == [0, 1, 2.5, 5.5]
+    rows = texts()
+    docs = common.id_text(frame(spark, rows))
+    brute = WholeModel([t for i, t in enumerate(rows) if zlib.crc32(str(i).encode()) % 5 != 1])
+    model = lm.LogFrequencyModel.fit(docs.filter(~lm.held_out(F.col("doc_id"))), bits=512, bucket_bytes=bucket_bytes, least=1)
+    got = {r.doc_id: r.score for r in model.score(docs).collect()}
+    assert got == {i: pytest.approx(brute.score(t)) for i, t in enumerate(rows)}
+
+
+def test_op1_leaves_out_no_ngram(spark, tmp_path):
+    rows = texts()
+    common.id_text(frame(spark, rows)).write.parquet(f"{tmp_path}/documents.parquet")
+    brute = WholeModel([t for i, t in enumerate(rows) if zlib.crc32(str(i).encode()) % 5 != 1])
+    got = {r.doc_id: r.score for r in lm.op1_lm(spark, str(tmp_path)).collect()}
+    assert all(got[i] == pytest.approx(brute.score(t), rel=0.02, abs=0.5) for i, t in enumerate(rows))
+
+
 def test_language_model_of_nothing(spark):
     model = lm.LogFrequencyModel.fit(empty(spark))
     got = model.score(common.id_text(spark.createDataFrame([(1, "a b"), (1, None), (None, "")], "doc_id long, text string"))).collect()
