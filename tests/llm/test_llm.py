@@ -193,6 +193,37 @@ def test_language_model_with_what_occurs_once(spark, bucket_bytes):
     assert got == {i: pytest.approx(brute.score(t)) for i, t in enumerate(rows)}
 
 
+@pytest.mark.parametrize("bucket_tokens, flush", [(lm.BUCKET_TOKENS, lm.FLUSH), (2, lm.FLUSH), (4, 40)])
+def test_language_model_in_buckets(spark, monkeypatch, bucket_tokens, flush):
+    """Asked in buckets, in one chunk and in many, as by definition and as by the broadcast model."""
+    monkeypatch.setattr(lm, "FLUSH", flush)
+    rows = texts()
+    docs = common.id_text(frame(spark, rows))
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(rows))}
+    brute = WholeModel([t for i, t in enumerate(rows) if not out[i]])
+    train = ~lm.held_out(F.col("doc_id"))
+    got = {r.doc_id: r for r in lm.score_table(docs, train, bits=512, bucket_tokens=bucket_tokens).collect()}
+    for i, t in enumerate(rows):
+        r, ws = got[i], [*words(lower(t)), None]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(ws), sum(w in brute.c for w in ws), brute.n)
+        assert r.base_score == pytest.approx(sum(math.log10(brute.base(w)) for w in ws))
+        assert r.score == pytest.approx(brute.score(t))
+    again = lm.LogFrequencyModel.fit(docs.filter(train), bits=512, least=1).score(docs).collect()
+    assert {r.doc_id: pytest.approx(tuple(r)) for r in again} == {i: tuple(r) for i, r in got.items()}
+    chunks = lm.dealt(lm.chunked(docs.withColumn("train", train)), "chunk")
+    met = chunks.groupBy("chunk").cogroup(spark.range(9).withColumnRenamed("id", "chunk").groupBy("chunk")).applyInArrow(lambda a, b: a.select(["chunk"]), "chunk long")
+    plan = str(met._jdf.queryExecution().executedPlan())
+    assert plan.count("Exchange hashpartitioning(chunk") == 1, plan  # of the other side
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    parts = lm.score_table(docs.repartition(5 * spark.sparkContext.defaultParallelism + 20), train, bits=512, bucket_tokens=bucket_tokens).collect()
+    assert {r.doc_id: pytest.approx(tuple(r)) for r in parts} == {i: tuple(r) for i, r in got.items()} and len(parts) == len(rows)
+    twice = docs.unionByName(docs.filter("doc_id < 2")).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert lm.score_table(twice, train, bucket_tokens=bucket_tokens).count() == len(rows) + 3
+    assert lm.score_table(empty(spark), train).count() == 0
+    no_training = lm.score_table(docs, F.lit(False)).collect()
+    assert len(no_training) == len(rows) and all(r.train_tokens == 0 and r.score == r.base_score for r in no_training)
+
+
 def test_op1_leaves_out_no_ngram(spark, tmp_path):
     rows = texts()
     common.id_text(frame(spark, rows)).write.parquet(f"{tmp_path}/documents.parquet")
